@@ -25,7 +25,7 @@ from .common import NULL_ID, U64, mix64, slices, utf8, word_hashes, words_of
 #: Rows of the sketch; cells of a range, the unit in which sketches are merged.
 DEPTH, RANGE_BITS = 2, 20
 #: Windows gathered in a task before it hands them on.
-FLUSH = 1 << 23
+FLUSH = 1 << 22
 _A, _B = U64(0x9E3779B97F4A7C15 | 1), U64(0xC2B2AE3D27D4EB4F)
 #: Marks, in the second hash, spans that were settled inside a task.
 SETTLED = -1
@@ -107,7 +107,7 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> DataFrame:
         kept, n = [], 0
         for batch in batches:
             texts = utf8(batch.column(0))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 2 << 20):
                 kept.append(window_hashes(texts[lo:hi], width)[2])
                 n += len(kept[-1])
                 if n >= FLUSH:
@@ -162,12 +162,12 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
     def emit(kept: list):
         ids, pos, one, two = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((pos, ids, two, one))
-        ids, pos, one, two = ids[order], pos[order], one[order], two[order]
         new = np.ones(len(one), dtype=bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        low = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (ids != ids[low]) | (pos != pos[low])
-        yield pa.RecordBatch.from_arrays([pa.array(one[new].view(np.int64)), pa.array(two[new]), pa.array(ids[new]), pa.array(pos[new].astype(np.int32)), pa.array((pos[new] + 1).astype(np.int32))], names=names)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        low = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.sort(order[(ids[order] != ids[low]) | (pos[order] != pos[low])])
+        first = np.sort(order[new])  # in the order of the documents, which packs well
+        yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first]), pa.array(ids[first]), pa.array((pos[first] << 32) | (pos[first] + 1))], names=names)
         ids, pos = ids[later], pos[later]
         order = np.lexsort((pos, ids))
         ids, pos = ids[order], pos[order]
@@ -177,9 +177,9 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
             last = np.append(np.flatnonzero(new)[1:], len(ids)) - 1
             ids, begin, stop = ids[new], pos[new], pos[last] + 1
             key = mix64(ids.view(U64) * _A + begin.astype(U64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), SETTLED, np.int32)), pa.array(ids), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), SETTLED, np.int32)), pa.array(ids), pa.array((begin << 32) | stop)], names=names)
 
-    names = ["h1", "h2", "doc_id", "start", "stop"]
+    names = ["h1", "h2", "doc_id", "span"]
 
     def run(batches):
         sketch = shared.value
@@ -187,7 +187,7 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = utf8(batch.column(1))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 2 << 20):
                 rows, pos, one, two = window_hashes(texts[lo:hi], width)
                 at = _repeated(one, sketch, bits)
                 kept.append((ids[lo + rows[at]], pos[at], one[at], two[at]))
@@ -198,11 +198,11 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
         if n:
             yield from emit(kept)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 int, doc_id long, start int, stop int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 int, doc_id long, span long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, max_sketch_bytes: int = 1 << 26) -> DataFrame:
-    """(doc_id, spans): per document the ranges [start, stop) of windows whose words also start earlier.
+    """(doc_id, spans): per document the ranges of windows whose words also start earlier, as start << 32 | stop.
 
     Ids may not be null here: NULL_ID stands for null.
     """
@@ -214,10 +214,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = _gather(_merge(_sketch(source, width, bits), bits), bits)
     shared = spark.sparkContext.broadcast(sketch)
     found = _candidates(source, width, bits, shared)
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start")
-    ranked = found.withColumn("first_doc", F.first("doc_id").over(order)).withColumn("first_start", F.first("start").over(order))
-    later = ranked.where((F.col("h2") == SETTLED) | (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")))
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "span")
+    ranked = found.withColumn("first_doc", F.first("doc_id").over(order)).withColumn("first_span", F.first("span").over(order))
+    later = ranked.where((F.col("h2") == SETTLED) | (F.col("doc_id") != F.col("first_doc")) | (F.col("span") != F.col("first_span")))
+    return later.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(n: int, starts, stops, width: int) -> np.ndarray:
@@ -239,17 +239,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = repeated_spans(docs, id_col, text_col, width, max_sketch_bytes).withColumnRenamed("doc_id", "key")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = source.join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "starts", "stops")
+    joined = source.join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
             texts = utf8(batch.column(1))
             out = []
-            for text, starts, stops in zip(texts, batch.column(2), batch.column(3), strict=True):
+            for text, spans in zip(texts, batch.column(2), strict=True):
                 words = (text or b"").split()
                 n = len(words)
-                if starts.is_valid and n:
-                    gone = covered(n, starts.values.to_numpy(zero_copy_only=False), stops.values.to_numpy(zero_copy_only=False), width)
+                if spans.is_valid and n:
+                    at = spans.values.to_numpy(zero_copy_only=False)
+                    gone = covered(n, at >> 32, at & 0xFFFFFFFF, width)
                     words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), kept, hashlib.sha256(kept).hexdigest()))
