@@ -1,11 +1,534 @@
-"""The queries of the library's own operators, with their SQL."""
+"""The queries of the library's own operators over the given tables, each with its SQL.
+
+`documents` is the corpus (source: mix source, lang: domain). Its texts are clean, so the cleaning queries
+soil them first, in the same way on both sides. Models are learned from the query's own table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import batching, codec, corpus, metrics, robustness
+from .operators import vocabulary as V
+from .plans import pipelines
+from .sources import model_files, text_files
+from .streaming.decoder import decode_stream
+
+MERGES = 12
+QUOTA, EVAL_SHARE, TRAIN_SHARE = 60_000, 10_000, 40_000
+STAMP = "<|endoftext|>"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A file of one row group is one task; heavier work is dealt to all cores first."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_table(spark, sf_dir, "documents"))
+
+
+def _soiled(docs: DataFrame) -> DataFrame:
+    dirty = F.concat(F.lit("\x07  "), F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\n\n\n")), F.lit("\r 　\x1c"))
+    return docs.withColumn("text", dirty)
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.cleaned(_soiled(_docs(spark, sf_dir)))
+
+
+# DuckDB pieces. RE2 has no lookahead: a sentinel U+0001 before the last blank of a run stands in for it.
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CLEAN = rf"""soiled AS (
+  SELECT doc_id, lang, source, chr(7) || '  ' || replace(text, '. ', '.' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10)) || chr(13) || ' ' || chr(12288) || chr(28) AS text
+  FROM documents WHERE text IS NOT NULL AND text <> ''
+), cleaned AS (
+  SELECT doc_id, lang, source, regexp_replace(regexp_replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS clean
+  FROM soiled
+)"""
+
+
+def _chunks(text: str, digits: str = "{1,3}") -> str:
+    pattern = r"(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}\x01]?\p{L}+|\p{N}" + digits + r"| ?[^\s\p{L}\p{N}\x01]+[\r\n]*|\s*[\r\n]+|\s+"
+    return rf"regexp_extract_all(regexp_replace({text}, '(\s)([\t ]\S)', '\1' || chr(1) || '\2', 'g'), '{pattern}')"
+
+
+_WORDS = f"""words AS MATERIALIZED (
+  SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_chunks("text || chr(10) || chr(10)")}) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word
+)"""
+_LETTERS = "[" + ", ".join("chr(%d)" % ord(c) for c in T.byte_alphabet()) + "]"
+
+
+def _mapped(word: str) -> str:
+    return f"array_to_string(list_transform(range(0, strlen({word})), lambda i: letters[('0x' || substr(hex(encode({word})), 2 * i + 1, 2))::INTEGER + 1]), '')"
+
+
+_SYMBOLS = f"""alphabet AS MATERIALIZED (SELECT {_LETTERS} AS letters), symbols AS MATERIALIZED (
+  SELECT word, n, {_mapped("word")} AS mapped FROM words, alphabet
+), s0 AS MATERIALIZED (
+  SELECT word, n, regexp_replace(mapped, '(?s)(.)', chr(2) || '\\1' || chr(3), 'g') AS s FROM symbols
+)"""
+
+
+def _pairs(table: str) -> str:
+    return f"""SELECT l, r, sum(n)::BIGINT AS freq FROM (
+    SELECT unnest(p[1 : len(p) - 1]) AS l, unnest(p[2 : len(p)]) AS r, n FROM (SELECT string_split(s[2 : len(s) - 1], chr(3) || chr(2)) AS p, n FROM {table}) WHERE len(p) > 1
+  ) GROUP BY l, r"""
+
+
+def _merge_sql(merges: int) -> str:
+    steps = [_WORDS, _SYMBOLS]
+    for k in range(merges):
+        steps.append(f"m{k} AS MATERIALIZED (SELECT l, r, freq FROM ({_pairs(f's{k}')}) WHERE freq >= 2 ORDER BY freq DESC, l, r LIMIT 1)")
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT word, n, replace(s, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || l || r || chr(3)) AS s FROM s{k}, m{k})")
+    union = " UNION ALL ".join(f"SELECT {k} AS merge_rank, l, r, freq FROM m{k}" for k in range(merges))
+    steps.append(f"merges AS MATERIALIZED ({union})")
+    specials = ", ".join(f"'{s}'" for s in V.SPECIAL_TOKENS)
+    base = len(V.SPECIAL_TOKENS) + 256
+    steps.append(f"vocab AS MATERIALIZED (SELECT t AS token, (row_number() OVER () - 1)::INTEGER AS id FROM (SELECT unnest(list_concat([{specials}], letters)) AS t FROM alphabet) UNION ALL SELECT l || r, ({base} + merge_rank)::INTEGER FROM merges)")
+    return ",\n".join(steps)
+
+
+#: Ids of every document's words, in order.
+_ENCODED = f"""{_merge_sql(MERGES)},
+ids AS MATERIALIZED (
+  SELECT word, list(id ORDER BY k) AS ids FROM (
+    SELECT word, unnest(string_split(s[2 : len(s) - 1], chr(3) || chr(2))) AS token, unnest(range(0, len(string_split(s, chr(3) || chr(2))))) AS k FROM s{MERGES}
+  ) JOIN vocab USING (token) GROUP BY word
+), raw_chunks AS (SELECT doc_id, {_chunks("text")} AS ws FROM documents WHERE text IS NOT NULL
+), extra AS (SELECT DISTINCT unnest(ws) AS word FROM raw_chunks EXCEPT SELECT word FROM words
+), encoded AS MATERIALIZED (
+  SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM raw_chunks) JOIN ids USING (word) GROUP BY doc_id
+)"""
+_WORD_COUNT = rf"len(list_filter(regexp_split_to_array(text, '{_SPACES}+'), lambda x: x <> ''))"
+_MEASURED = f"""{_ENCODED}, measured AS MATERIALIZED (
+  SELECT d.doc_id, lang, source, strlen(text)::BIGINT AS n_bytes, {_WORD_COUNT}::BIGINT AS n_words, coalesce(len(ids), 0)::BIGINT AS n_tokens, ids
+  FROM documents d LEFT JOIN encoded USING (doc_id)
+)"""
+
+
+def _model(spark: SparkSession, sf_dir: str, merges: int = MERGES) -> codec.Model:
+    words = V.word_counts(_docs(spark, sf_dir).where("text is not null"), "text")
+    return codec.Model(V.train(words, 256 + len(V.SPECIAL_TOKENS) + merges))
+
+
+def _joined(ids):
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, codec.Model]:
+    docs, model = _docs(spark, sf_dir), _model(spark, sf_dir)
+    encoded = codec.encode(docs, model)
+    return metrics.measured(docs, encoded, codec.decode(encoded, model), model.ids["<|unk|>"]), model
+
+
+# --- corpus -----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_CLEAN} SELECT doc_id, clean, strlen(clean)::BIGINT AS n_bytes FROM cleaned")
+def clean_documents(spark, sf_dir):
+    return _soiled(_docs(spark, sf_dir)).select("doc_id", T.clean_text(F.col("text")).alias("clean")).withColumn("n_bytes", T.byte_length(F.col("clean")))
+
+
+@_query(f"WITH {_CLEAN} SELECT doc_id, length(clean)::BIGINT AS n_chars FROM cleaned WHERE length(clean) >= 200")
+def valid_documents(spark, sf_dir):
+    rows = _soiled(_docs(spark, sf_dir)).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+    return rows.where(T.is_valid_document(F.col("clean"), 200)).select("doc_id", F.length("clean").cast("long").alias("n_chars"))
+
+
+_QUOTA = f"""{_CLEAN}, quota AS (
+  SELECT * FROM (SELECT *, strlen(clean)::BIGINT AS n_bytes, coalesce(sum(strlen(clean)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bytes_before FROM cleaned WHERE length(clean) >= 50) WHERE bytes_before < {QUOTA}
+)"""
+
+
+@_query(f"WITH {_QUOTA} SELECT source, doc_id, n_bytes, bytes_before FROM quota")
+def byte_quota_stop(spark, sf_dir):
+    return corpus.byte_quota(_clean(spark, sf_dir).select("source", "doc_id", "clean"), QUOTA).select("source", "doc_id", "n_bytes", "bytes_before")
+
+
+_SPLIT = f"""{_QUOTA}, stored AS (
+  SELECT source, doc_id, n_bytes + 2 AS stored, coalesce(sum(n_bytes + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM quota
+), reached AS (
+  SELECT *, coalesce(max(CASE WHEN before < {EVAL_SHARE} THEN before + stored END) OVER (PARTITION BY source), 0) AS r FROM stored
+), split AS (
+  SELECT source, doc_id, stored, CASE WHEN before < {EVAL_SHARE} THEN 'eval' WHEN before - r < {TRAIN_SHARE} THEN 'train' END AS split FROM reached
+)"""
+
+
+def _split(spark, sf_dir):
+    quota = corpus.byte_quota(_clean(spark, sf_dir).select("source", "doc_id", "clean"), QUOTA)
+    return corpus.split_held_out(quota, TRAIN_SHARE, EVAL_SHARE)
+
+
+@_query(f"WITH {_SPLIT} SELECT source, doc_id, split, stored FROM split WHERE split IS NOT NULL")
+def eval_train_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("source", "doc_id", "split", "stored")
+
+
+@_query(f"WITH {_SPLIT} SELECT source, split, count(*)::BIGINT AS n_docs, sum(stored)::BIGINT AS n_bytes FROM split WHERE split IS NOT NULL GROUP BY source, split")
+def corpus_manifest(spark, sf_dir):
+    return corpus.manifest(_split(spark, sf_dir))
+
+
+@_query("WITH m AS (SELECT source, count(*) / 100.0 AS target_mb, source <> 'src3' AS enabled FROM documents GROUP BY source) SELECT (count(*) FILTER (enabled))::BIGINT AS n_enabled, round(sum(target_mb) FILTER (enabled), 6)::DOUBLE AS sum_mb, abs(sum(target_mb) FILTER (enabled) - 9.5) <= 0.5 AS is_valid FROM m")
+def mix_validation(spark, sf_dir):
+    mix = _table(spark, sf_dir, "documents").groupBy("source").agg((F.count(F.lit(1)) / 100.0).alias("target_mb")).withColumn("enabled", F.col("source") != "src3")
+    return corpus.check_mix(mix, 9.5).select("n_enabled", F.round("sum_mb", 6).alias("sum_mb"), "is_valid")
+
+
+@_query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5('42-' || doc_id::VARCHAR), doc_id))::INTEGER AS place FROM documents")
+def seeded_shuffle(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("source").orderBy(corpus.seeded_key(), "doc_id")
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(order).cast("int").alias("place"))
+
+
+@_query("WITH r AS (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM documents) SELECT doc_id, length(text[1 : 500000 - place])::BIGINT AS n_chars, md5(text[1 : 500000 - place]) AS digest FROM r WHERE place < 500000")
+def heldout_prefix(spark, sf_dir):
+    found = corpus.char_prefix(_table(spark, sf_dir, "documents"), 500_000)
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+# --- pre-tokenisation -------------------------------------------------------------------------------------
+
+
+def _chunk_digest(table: str, key: str, text: str, digits: str) -> str:
+    return f"SELECT {key}, len(ws)::BIGINT AS n_chunks, md5(array_to_string(ws, '|')) AS digest FROM (SELECT {key}, {_chunks(text, digits)} AS ws FROM {table})"
+
+
+def _chunked(df: DataFrame, key: str, text: str, mode: str) -> DataFrame:
+    return df.select(key, T.pre_tokenize(F.col(text), mode).alias("ws")).select(key, F.size("ws").cast("long").alias("n_chunks"), F.md5(F.array_join("ws", "|")).alias("digest"))
+
+
+@_query(_chunk_digest("documents", "doc_id", "text", "{1,3}"))
+def pretok_clustered(spark, sf_dir):
+    return _chunked(_docs(spark, sf_dir), "doc_id", "text", "clustered")
+
+
+@_query(_chunk_digest("pages", "page_id", "html", ""))
+def pretok_single(spark, sf_dir):
+    return _chunked(_spread(_table(spark, sf_dir, "pages")), "page_id", "html", "single")
+
+
+@_query(f"WITH {_WORDS} SELECT word, n FROM words")
+def word_frequencies(spark, sf_dir):
+    return V.word_counts(_docs(spark, sf_dir).where("text is not null"), "text")
+
+
+@_query(f"WITH {_WORDS}, {_SYMBOLS} SELECT word, mapped AS letters FROM symbols")
+def byte_symbols(spark, sf_dir):
+    return word_frequencies(spark, sf_dir).select("word", T.to_byte_letters(F.col("word")).alias("letters"))
+
+
+@_query("SELECT page_id, html AS back, TRUE AS is_same FROM pages")
+def byte_roundtrip(spark, sf_dir):
+    back = T.from_byte_letters(T.to_byte_letters(F.col("html")))
+    return _table(spark, sf_dir, "pages").select("page_id", back.alias("back"), (back == F.col("html")).alias("is_same"))
+
+
+# --- learning ---------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_WORDS}, {_SYMBOLS} {_pairs('s0')}")
+def pair_frequencies(spark, sf_dir):
+    return V.pair_counts(V.with_symbols(word_frequencies(spark, sf_dir)))
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT merge_rank, l, r FROM merges")
+def bpe_merges(spark, sf_dir):
+    return V.merge_table(spark, V.merge_steps(word_frequencies(spark, sf_dir), MERGES)).drop("freq")
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT merge_rank, freq, round(freq / (SELECT max(freq) FROM merges), 6)::DOUBLE AS share FROM merges")
+def merge_frequency_decay(spark, sf_dir):
+    table = V.merge_table(spark, _model(spark, sf_dir).merges)
+    return table.crossJoin(F.broadcast(table.agg(F.max("freq").alias("top")))).select("merge_rank", "freq", F.round(F.col("freq") / F.col("top"), 6).alias("share"))
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT token, id FROM vocab")
+def vocab_table(spark, sf_dir):
+    return V.vocabulary_table(spark, _model(spark, sf_dir).merges)
+
+
+# --- encoding ---------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_ENCODED} SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_tokens, md5(array_to_string(coalesce(ids, []), ',')) AS digest FROM documents d LEFT JOIN encoded USING (doc_id)")
+def encode_tokens(spark, sf_dir):
+    encoded = codec.encode(_docs(spark, sf_dir), _model(spark, sf_dir))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
+
+
+@_query("SELECT doc_id, md5(text) AS digest, TRUE AS is_lossless FROM documents")
+def decode_roundtrip(spark, sf_dir):
+    docs, model = _docs(spark, sf_dir), _model(spark, sf_dir)
+    back = codec.decode(codec.encode(docs, model), model).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").select("doc_id", F.md5("back").alias("digest"), (F.col("text") == F.col("back")).alias("is_lossless"))
+
+
+@_query(f"SELECT conv_id, array_to_string(list_concat(['{STAMP}'], list_filter(flatten(list([text, '{STAMP}'] ORDER BY turn)), lambda x: x <> '')), '|') AS parts FROM conversations GROUP BY conv_id")
+def special_token_split(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    text = F.concat(F.lit(STAMP), F.array_join(F.transform("t", lambda x: x["text"]), STAMP), F.lit(STAMP))
+    return turns.select("conv_id", F.array_join(codec.split_specials(text, V.SPECIAL_TOKENS), "|").alias("parts"))
+
+
+@_query("SELECT conv_id, turn, turn % 2 = 0 AS is_allowed FROM conversations")
+def special_token_guard(spark, sf_dir):
+    text = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(STAMP)))
+    held = text.rlike("<\\|(endoftext|pad|unk|bos|eos)\\|>")
+    guarded = codec.guard_specials(F.when(~held, text).otherwise(F.lit("")), V.SPECIAL_TOKENS, None)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", (guarded.isNotNull() & ~held).alias("is_allowed"))
+
+
+@_query(f"WITH {_ENCODED} SELECT doc_id, pos, id, token, hex(encode(token)) AS letter_hex FROM (SELECT doc_id, unnest(ids) AS id, (unnest(range(0, len(ids))))::INTEGER AS pos FROM (SELECT doc_id, ids[1:30] AS ids FROM encoded)) JOIN vocab USING (id)")
+def token_inspection(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    first = codec.encode(_docs(spark, sf_dir), model).withColumn("ids", batching.truncate(F.col("ids"), 30))
+    rows = codec.tokens_of(first, V.vocabulary_table(spark, model.merges))
+    return rows.select("doc_id", "pos", "id", "token", F.hex(F.encode("token", "UTF-8")).alias("letter_hex"))
+
+
+# --- batches: ids are the byte lengths of a turn's chunks ------------------------------------------------------
+
+_IDS = f"ids AS MATERIALIZED (SELECT conv_id, turn, list_transform({_chunks('text')}, lambda x: strlen(x)::INTEGER) AS ids FROM conversations)"
+_PAD = "list_concat(c, list_transform(range(0, greatest(0, w - len(c))), lambda i: %s::INTEGER))"
+
+
+def _turn_ids(spark, sf_dir):
+    ids = F.transform(T.pre_tokenize(F.coalesce("text", F.lit(""))), lambda w: F.octet_length(w))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, array_to_string({_PAD % 1}, ',') AS input_ids FROM (SELECT conv_id, turn, ids[1:64] AS c, 64 AS w FROM ids)")
+def pad_truncate(spark, sf_dir):
+    return batching.encode_batch(_turn_ids(spark, sf_dir), 1, max_length=64, truncation=True).select("conv_id", "turn", _joined(F.col("input_ids")).alias("input_ids"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, array_to_string({_PAD % 0}, ',') AS attention_mask FROM (SELECT conv_id, turn, list_transform(ids, lambda x: 1) AS c, max(len(ids)) OVER () AS w FROM ids)")
+def attention_mask(spark, sf_dir):
+    return batching.encode_batch(_turn_ids(spark, sf_dir), 1, padding="longest").select("conv_id", "turn", _joined(F.col("attention_mask")).alias("attention_mask"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, array_to_string({_PAD % 1}, ',') AS input_ids, len({_PAD % 1})::INTEGER AS width FROM (SELECT conv_id, turn, ids AS c, (ceil(max(len(ids)) OVER (PARTITION BY conv_id) / 8.0) * 8)::INTEGER AS w FROM ids)")
+def pad_to_multiple(spark, sf_dir):
+    return batching.encode_batch(_turn_ids(spark, sf_dir), 1, multiple=8, by=["conv_id"]).select("conv_id", "turn", _joined(F.col("input_ids")).alias("input_ids"), F.size("input_ids").alias("width"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, CASE WHEN len(ids) > 48 THEN array_to_string(list_transform(range(0, (ceil((len(ids) - 48) / 32.0) * 32)::INTEGER + 1, 32), lambda a: array_to_string(ids[a + 1 : a + 48], ',')), '|') ELSE array_to_string(ids, ',') END AS windows FROM ids")
+def sliding_windows(spark, sf_dir):
+    cut = batching.windows(F.col("ids"), 48, 16)
+    return _turn_ids(spark, sf_dir).select("conv_id", "turn", F.array_join(F.transform(cut, _joined), "|").alias("windows"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, array_to_string(ids[a + 1 : a + 16], ',') AS x, array_to_string(ids[a + 2 : a + 17], ',') AS y FROM (SELECT conv_id, turn, ids, unnest(range(0, ((len(ids) - 1) // 16) * 16, 16)) AS a FROM ids WHERE len(ids) > 16)")
+def lm_blocks(spark, sf_dir):
+    return _turn_ids(spark, sf_dir).select("conv_id", "turn", F.explode(batching.lm_blocks(F.col("ids"), 16)).alias("b")).select("conv_id", "turn", _joined(F.col("b.x")).alias("x"), _joined(F.col("b.y")).alias("y"))
+
+
+# --- metrics ----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_MEASURED} SELECT lang, sum(n_bytes)::BIGINT AS n_bytes, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_bytes) / sum(n_tokens), 4)::DOUBLE AS compression_ratio FROM measured GROUP BY lang")
+def compression_by_lang(spark, sf_dir):
+    rows, model = _measured(spark, sf_dir)
+    return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_bytes", "n_tokens", "compression_ratio")
+
+
+@_query(f"WITH {_MEASURED} SELECT lang, sum(n_words)::BIGINT AS n_words, round(sum(n_tokens) / sum(n_words), 4)::DOUBLE AS fertility FROM measured GROUP BY lang")
+def fertility_by_lang(spark, sf_dir):
+    rows, model = _measured(spark, sf_dir)
+    return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_words", "fertility")
+
+
+@_query(f"WITH {_MEASURED} SELECT lang, count(DISTINCT id)::BIGINT AS n_used, round(count(DISTINCT id) / (SELECT count(*) FROM vocab) * 100, 2)::DOUBLE AS used_percent FROM (SELECT lang, unnest(ids) AS id FROM measured) GROUP BY lang")
+def vocab_utilization(spark, sf_dir):
+    rows, model = _measured(spark, sf_dir)
+    return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_used", "used_percent")
+
+
+@_query(f"WITH {_MEASURED} SELECT lang, (count(*) FILTER (id = 2))::BIGINT AS n_unk, round((count(*) FILTER (id = 2)) / count(*) * 100, 4)::DOUBLE AS unk_percent FROM (SELECT lang, unnest(ids) AS id FROM measured) GROUP BY lang")
+def unk_rate(spark, sf_dir):
+    rows, model = _measured(spark, sf_dir)
+    return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_unk", "unk_percent")
+
+
+@_query("SELECT source, TRUE AS all_lossless, count(*)::BIGINT AS n_docs FROM documents GROUP BY source")
+def losslessness(spark, sf_dir):
+    rows, _ = _measured(spark, sf_dir)
+    return rows.groupBy("source").agg(F.every("is_lossless").alias("all_lossless"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@_query("SELECT page_id, CASE WHEN html = replace(html, 'the', 'thE') THEN NULL ELSE instr(html, 'the') + 1 END::BIGINT AS first_diff FROM pages")
+def first_difference(spark, sf_dir):
+    other = F.replace(F.col("html"), F.lit("the"), F.lit("thE"))
+    return _table(spark, sf_dir, "pages").select("page_id", T.first_difference(F.col("html"), other).alias("first_diff"))
+
+
+@_query(f"WITH {_MEASURED} SELECT coalesce(lang, 'overall') AS domain, sum(n_bytes)::BIGINT AS n_bytes, sum(n_words)::BIGINT AS n_words, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_bytes) / sum(n_tokens), 4)::DOUBLE AS compression_ratio, round(sum(n_tokens) / sum(n_words), 4)::DOUBLE AS fertility, TRUE AS all_lossless FROM measured GROUP BY GROUPING SETS ((lang), ())")
+def domain_benchmark(spark, sf_dir):
+    rows, model = _measured(spark, sf_dir)
+    one = metrics.domain_report(rows, ["lang"], len(model.tokens)).withColumnRenamed("lang", "domain")
+    total = one.agg(*[F.sum(c).cast("long").alias(c) for c in ("n_bytes", "n_words", "n_tokens")], F.every("all_lossless").alias("all_lossless")).withColumn("domain", F.lit("overall"))
+    total = total.withColumn("compression_ratio", T.ratio(F.col("n_bytes"), F.col("n_tokens"))).withColumn("fertility", T.ratio(F.col("n_tokens"), F.col("n_words")))
+    keep = ["domain", "n_bytes", "n_words", "n_tokens", "compression_ratio", "fertility", "all_lossless"]
+    return one.select(keep).unionByName(total.select(keep))
+
+
+@_query(f"WITH {_WORDS} SELECT word, n, (row_number() OVER (ORDER BY n DESC, word))::BIGINT AS zipf_rank, round((max(n) OVER ()) / (row_number() OVER (ORDER BY n DESC, word)), 4)::DOUBLE AS theoretical FROM words")
+def zipf_ranks(spark, sf_dir):
+    return metrics.zipf(word_frequencies(spark, sf_dir))
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT least(length(token), 40)::INTEGER AS length, count(*)::BIGINT AS n_tokens FROM vocab GROUP BY 1")
+def subword_lengths(spark, sf_dir):
+    return metrics.token_lengths(vocab_table(spark, sf_dir))
+
+
+@_query(f"WITH {_merge_sql(MERGES)} " + " UNION ALL ".join(f"SELECT {261 + k} AS vocab_size, (SELECT sum(n * (len(s) - len(replace(s, chr(2), ''))))::BIGINT FROM s{k}) AS n_tokens" for k in (0, 4, 8, 12)))
+def vocab_sweep(spark, sf_dir):
+    words = word_frequencies(spark, sf_dir)
+    symbols = words.withColumn("symbols", T.symbols_of(T.to_byte_letters(F.col("word"))))
+    rows, last = None, 0
+    model = _model(spark, sf_dir)
+    for small in pipelines.sweep(model, [261, 265, 269, 273]):
+        for left, right, _ in model.merges[last : len(small.merges)]:
+            symbols = symbols.withColumn("symbols", V.merged(F.col("symbols"), left, right))
+        last = len(small.merges)
+        one = symbols.agg(F.sum(F.col("n") * F.size(T.split_symbols(F.col("symbols")))).cast("long").alias("n_tokens")).select(F.lit(len(small.tokens)).alias("vocab_size"), "n_tokens")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+# --- runs: one per source, entered twice ------------------------------------------------------------------------
+
+_RUNS = "runs AS (SELECT lower(replace(trim(' Run ' || source), ' ', '_')) AS run_id, seq, (500 * (1 + count(*) % 7) + seq)::INTEGER AS vocab_size, round(sum(strlen(text)) / (sum(length(text)) * (2 + seq)), 4)::DOUBLE AS overall_cr FROM documents, (SELECT unnest([0, 1]) AS seq) GROUP BY source, seq)"
+_BOARD = f"{_RUNS}, board AS (SELECT *, (row_number() OVER (ORDER BY overall_cr DESC, run_id))::INTEGER AS position FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) = 1))"
+
+
+def _runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("text")).alias("b"), F.sum(F.length("text")).alias("c"))
+    rows = docs.withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select(T.run_name(F.concat(F.lit(" Run "), "source")).alias("run_id"), "seq", (500 * (1 + F.col("k") % 7) + F.col("seq")).cast("int").alias("vocab_size"), F.round(F.col("b") / (F.col("c") * (2 + F.col("seq"))), 4).alias("overall_cr"))
+
+
+@_query(f"WITH {_BOARD} SELECT run_id, seq, vocab_size, overall_cr, position FROM board")
+def leaderboard(spark, sf_dir):
+    return metrics.leaderboard(_runs(spark, sf_dir)).select("run_id", "seq", "vocab_size", "overall_cr", "position")
+
+
+@_query(f"WITH {_BOARD} SELECT run_id, overall_cr FROM board WHERE position = 1")
+def best_run(spark, sf_dir):
+    return pipelines.resolve_run(metrics.leaderboard(_runs(spark, sf_dir)), "best").select("run_id", "overall_cr")
+
+
+@_query(f"WITH {_RUNS} SELECT a.run_id, a.vocab_size, a.overall_cr, b.overall_cr AS bpc FROM runs a JOIN runs b USING (run_id) WHERE a.seq = 0 AND b.seq = 1 AND a.vocab_size >= 1000")
+def pareto_points(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return metrics.pareto(runs.where("seq = 0").drop("seq"), runs.where("seq = 1").select("run_id", F.col("overall_cr").alias("bpc")))
+
+
+@_query("WITH r AS (SELECT source, avg(length(text)) / 400.0 AS loss, 2 + count(*) % 3 AS bpt FROM documents GROUP BY source) SELECT source, round(loss / bpt, 4)::DOUBLE AS loss_per_byte, round(loss / bpt / ln(2), 4)::DOUBLE AS bits_per_byte, round(exp(loss), 4)::DOUBLE AS perplexity FROM r")
+def bpc_from_loss(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").groupBy("source").agg((F.avg(F.length("text")) / 400.0).alias("loss"), (2 + F.count(F.lit(1)) % 3).alias("bpt"))
+    return rows.select("source", *metrics.lm_figures(F.col("loss"), F.col("bpt")))
+
+
+@_query("SELECT source, CASE WHEN b < 1024 THEN printf('%.2f B', b) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) ELSE printf('%.2f MB', b / 1048576) END AS shown, CASE WHEN c >= 1000 THEN (c // 1000)::VARCHAR || 'k' ELSE c::VARCHAR END AS label FROM (SELECT source, sum(strlen(text))::DOUBLE AS b, sum(length(text))::BIGINT AS c FROM documents GROUP BY source)")
+def shown_sizes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.length("text")).alias("c"))
+    return rows.select("source", T.format_bytes(F.col("b")).alias("shown"), T.vocab_label(F.col("c")).alias("label"))
+
+
+@_query("SELECT sha256(string_agg(text || chr(10) || chr(10), '' ORDER BY turn, conv_id)) AS sha256, sum(strlen(text) + 2)::BIGINT AS n_bytes, count(*)::BIGINT AS n_docs FROM conversations")
+def corpus_digest(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("key", F.struct("turn", "conv_id"))
+    return text_files.corpus_digest(rows, "key", "text")
+
+
+# --- random, stateful or driver-side: rows only -----------------------------------------------------------------
+
+
+@_query()
+def dropout_encode(spark, sf_dir):
+    docs = _table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
+    ids = codec.encode_dropout(docs, _model(spark, sf_dir), 0.1)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+
+
+@_query()
+def noise_robustness(spark, sf_dir):
+    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return robustness.noise_matrix(docs, _model(spark, sf_dir), [0.0, 0.1, 0.2], [0.0, 0.1])
+
+
+@_query()
+def stress_suite(spark, sf_dir):
+    return robustness.stress_suite(spark, _model(spark, sf_dir))
+
+
+@_query()
+def stress_summary(spark, sf_dir):
+    return robustness.stress_summary(stress_suite(spark, sf_dir))
+
+
+@_query()
+def streaming_decode(spark, sf_dir):
+    """Token rows of all conversation turns, written as files, streamed through the stateful decoder."""
+    import uuid
+
+    from .session import shared_dir
+
+    model, folder = _model(spark, sf_dir), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text")
+    encoded = codec.encode(turns, model, "stream_id")
+    rows = encoded.select("stream_id", F.size("ids").alias("n"), F.posexplode("ids").alias("p", "token_id"))
+    rows = rows.select("stream_id", F.col("p").cast("long").alias("pos"), "token_id", (F.col("p") == F.col("n") - 1).alias("last"))
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    run = decode_stream(stream, model).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("stream_id long, text string").parquet(f"{folder}/out")
+
+
+@_query()
+def model_export(spark, sf_dir):
+    import tempfile
+
+    model = _model(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:  # driver-side files; nothing distributed reads them
+        names = model_files.export_package(model, folder, "demo", {"merges": len(model.merges)})
+        same = model_files.load_model(folder).ids == model.ids
+    return spark.createDataFrame([(n, same) for n in names], "file string, reloads boolean")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
