@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .lines import words_in
 
 MAX_SHARDS = 4096
+#: Quotas are broadcast up to so many rows (a few MB), and joined by shuffle beyond.
+BROADCAST_ROWS = 100_000
 
 
 def water_fill(total: float, weights: list[float], caps: list[float]) -> list[float]:
@@ -58,7 +60,7 @@ def cycle_weights(sources: list[str | None], cycle: tuple[float, ...] = (1, 2, 3
     return {s: cycle[i % len(cycle)] for i, s in enumerate(order)}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, most: int = 3, block_words: int = 100, shard_rows: int = 20_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, most: int = 3, block_words: int = 100, shard_rows: int = 2_000, seed: int = 17) -> DataFrame:
     """The documents with size (words), source_size, target (the source's) and taken (words the mix takes).
 
     `weights` maps sources to weights (others: 0); by default they cycle 1, 2, 3. No document gives more
@@ -88,10 +90,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         for shard, (blocks, held) in enumerate(zip(sainte_lague(words, seats[s]).tolist(), words.tolist(), strict=True)):
             quotas.append((s, shards, shard, sizes[s], targets[s], held, min(blocks * block_words, most * held)))
     table = spark.createDataFrame(quotas, "mix_source string, mix_shards int, mix_shard int, source_size long, target double, mix_held long, mix_quota long")
-    per_source = table.select("mix_source", "mix_shards").distinct()
+    small = F.broadcast if len(quotas) <= BROADCAST_ROWS else lambda df: df
+    per_source = small(table.select("mix_source", "mix_shards").distinct())
     placed = sized.join(per_source, "mix_source").withColumn("mix_shard", (F.pmod(place, F.lit(MAX_SHARDS)) % F.col("mix_shards")).cast("int"))
     order = Window.partitionBy("mix_source", "mix_shard").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.col(id_col), F.col("size")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("mix_end", F.sum("size").over(order)).join(table.drop("mix_shards"), ["mix_source", "mix_shard"])
+    placed = placed.withColumn("mix_end", F.sum("size").over(order)).join(small(table.drop("mix_shards")), ["mix_source", "mix_shard"])
     passes = F.when(F.col("mix_held") > 0, F.expr("mix_quota div mix_held")).otherwise(F.lit(0))
     rest = F.col("mix_quota") - passes * F.col("mix_held") - (F.col("mix_end") - F.col("size"))
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
