@@ -178,16 +178,26 @@ def platt(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of P(good | x), with Platt's smoothed targets, by Newton steps."""
     yes, no = int(good.sum()), int((~good).sum())
     target = np.where(good, (yes + 1) / (yes + 2), 1 / (no + 2))
-    a, b = 0.0, np.log((yes + 1) / (no + 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - target) * x).sum() + 1e-3 * a, (p - target).sum()])
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+    scale = max(float(np.abs(x).max(initial=0.0)), 1e-9)  # of the margins, so that the curve's slope is of order one
+    x = x / scale
+    at = np.array([0.0, np.log((yes + 1) / (no + 1))])
+
+    def loss(t: np.ndarray) -> float:
+        z = t[0] * x + t[1]
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * t @ t)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
+        w = p * (1 - p)
+        g = np.array([((p - target) * x).sum(), (p - target).sum()]) + 1e-3 * at
+        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+        step, now, t = np.linalg.solve(h, g), loss(at), 1.0
+        while t > 1e-6 and loss(at - t * step) > now:
+            t /= 2
+        at = at - t * step
+        if np.abs(t * step).max() < 1e-8:
             break
+    a, b = at[0] / scale, at[1]
     return float(a), float(b)
 
 
