@@ -27,6 +27,8 @@ DEPTH, RANGE_BITS = 2, 20
 #: Windows gathered in a task before it hands them on.
 FLUSH = 1 << 22
 _A, _B = U64(0x9E3779B97F4A7C15 | 1), U64(0xC2B2AE3D27D4EB4F)
+#: A span of windows is one long: its start, and below in so many bits its length (longer ones are cut up).
+SPAN = 24
 #: Marks, in the second hash, spans that were settled inside a task.
 SETTLED = -1
 
@@ -167,17 +169,17 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
         low = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         later = np.sort(order[(ids[order] != ids[low]) | (pos[order] != pos[low])])
         first = np.sort(order[new])  # in the order of the documents, which packs well
-        yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first]), pa.array(ids[first]), pa.array((pos[first] << 32) | (pos[first] + 1))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first]), pa.array(ids[first]), pa.array((pos[first] << SPAN) | 1)], names=names)
         ids, pos = ids[later], pos[later]
         order = np.lexsort((pos, ids))
         ids, pos = ids[order], pos[order]
         if len(ids):
             new = np.ones(len(ids), dtype=bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (pos[1:] > pos[:-1] + 1)
+            new[1:] = (ids[1:] != ids[:-1]) | (pos[1:] > pos[:-1] + 1) | (pos[1:] & ((1 << SPAN - 1) - 1) == 0)
             last = np.append(np.flatnonzero(new)[1:], len(ids)) - 1
             ids, begin, stop = ids[new], pos[new], pos[last] + 1
             key = mix64(ids.view(U64) * _A + begin.astype(U64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), SETTLED, np.int32)), pa.array(ids), pa.array((begin << 32) | stop)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(ids), SETTLED, np.int32)), pa.array(ids), pa.array((begin << SPAN) | (stop - begin))], names=names)
 
     names = ["h1", "h2", "doc_id", "span"]
 
@@ -202,7 +204,7 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, max_sketch_bytes: int = 1 << 26) -> DataFrame:
-    """(doc_id, spans): per document the ranges of windows whose words also start earlier, as start << 32 | stop.
+    """(doc_id, spans): per document the ranges of windows whose words also start earlier, as start << SPAN | length.
 
     Ids may not be null here: NULL_ID stands for null.
     """
@@ -250,7 +252,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(words)
                 if spans.is_valid and n:
                     at = spans.values.to_numpy(zero_copy_only=False)
-                    gone = covered(n, at >> 32, at & 0xFFFFFFFF, width)
+                    gone = covered(n, at >> SPAN, (at >> SPAN) + (at & ((1 << SPAN) - 1)), width)
                     words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), kept, hashlib.sha256(kept).hexdigest()))
