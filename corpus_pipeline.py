@@ -31,10 +31,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id. Fingerprints of five-word shingles."""
-    found = simhash.near_duplicates(docs, words=5, radius=4)
+    """One document of each group stays, that of the smallest id. Five-word shingles, a similarity of 0.8.
+
+    Rows without an id have no name by which a group could keep or drop them, and stay.
+    """
+    found = simhash.near_duplicates(docs, words=5, radius=4, similarity=0.8)
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("key")).select("key").distinct()
-    return docs.join(first, F.col("doc_id") == F.col("key"), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    named = docs.join(first, F.col("doc_id") == F.col("key"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,11 @@ Two things keep that affordable, and neither loses a link:
 * Variants are dealt out by a linear (parity) hash, so bucket(x ^ mask) = bucket(x) ^ bucket(mask).
   Only fingerprints travel, once to each bucket that holds variants of theirs; the bucket's task makes
   the variants itself.
+
+A distance of 4 bits means a shingle similarity of about 0.96. With `similarity` set, links between less
+similar texts are found as well, which balls cannot reach at a bearable size: at 0.8 two fingerprints
+differ in some 10 of 64 bits. These candidates come from bands of min-wise hashes, and are verified with
+the longer sketch (`similar_links`).
 """
 
 from __future__ import annotations
@@ -27,10 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, materialize, partitions, random_u64, utf8
+from .common import U64, Table, connected_components, materialize, mix64, partitions, random_u64, utf8, word_hashes, words_of
 
 BITS = 64
 _PARITY = random_u64(24, 29)
+#: Min-wise hashes of a sketch; the first BANDS * ROWS of them make the candidate keys.
+HASHES, BANDS, ROWS = 512, 16, 4
+_FACTORS = random_u64(HASHES, 31).astype(np.uint32) | np.uint32(1)
+_SHIFTS = random_u64(HASHES, 37).astype(np.uint32)
 
 
 def simhash(text: bytes | None, words: int = 4) -> int:
@@ -63,6 +72,94 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
+def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, np.ndarray]:
+    """(low bytes of HASHES min-wise hashes of the set of word shingles, BANDS candidate keys). No words: both empty."""
+    buf, starts, ends, _ = words_of([(text or b"").lower()])
+    n = len(starts)
+    if not n:
+        return b"", np.zeros(0, dtype=np.int64)
+    ids = word_hashes(buf, starts, ends)
+    count, size = max(1, n - words + 1), min(n, words)
+    with np.errstate(over="ignore"):
+        shingles = np.zeros(count, dtype=U64)
+        for j in range(size):
+            shingles = mix64(shingles * U64(0x9E3779B97F4A7C15) + ids[j : j + count])
+        shingles = np.unique((shingles >> U64(32)).astype(np.uint32))
+        least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+        for at in range(0, len(shingles), 1 << 10):
+            part = shingles[at : at + (1 << 10), None] * _FACTORS + _SHIFTS
+            np.minimum(least, (part ^ (part >> np.uint32(15))).min(axis=0), out=least)
+        keys = random_u64(BANDS, 41)
+        for j in range(ROWS):
+            keys = mix64(keys * U64(0x9E3779B97F4A7C15) + least[j * BANDS : (j + 1) * BANDS].astype(U64))
+    return least.astype(np.uint8).tobytes(), keys.view(np.int64)
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, fp, sketch, keys) in one pass over the texts."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = utf8(part.column(1))
+                fps = np.array([simhash(t, words) for t in texts], dtype=U64).view(np.int64)
+                made = [sketch(t, words) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([b for b, _ in made], pa.binary()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["doc_id", "fp", "sketch", "keys"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, fp long, sketch binary, keys array<long>")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) pairs with two sketches that agree often enough: within one standard error of `similarity`."""
+    least = HASHES * similarity - (HASHES * similarity * (1 - similarity)) ** 0.5
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            yield batch.select(["src", "dst"]).filter(pa.array((a == b).sum(axis=1) >= least))
+
+    one = sketches.select(F.col("fp").alias("src"), F.col("sketch").alias("a"))
+    two = sketches.select(F.col("fp").alias("dst"), F.col("sketch").alias("b"))
+    both = pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b")
+    return both.mapInArrow(run, "src long, dst long").distinct()
+
+
+def similar_links(sketches: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """`links` (src, dst) and further ones between fingerprints whose texts are similar; enough to connect them.
+
+    sketches: distinct (fp, sketch, keys). A bucket is all fingerprints with a key in common. Each round
+    compares every fingerprint of a bucket that holds several components with one centre of that bucket,
+    another one each round (never all pairs), and ends after two rounds in a row without a new link.
+    """
+    spark = sketches.sparkSession
+    own = sketches.where("length(sketch) > 0")
+    keyed = own.select("fp", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg((F.min("fp") < F.max("fp")).alias("many")).where("many").select("key")
+    keyed = materialize(keyed.join(shared, "key"))
+    involved = keyed.select("fp").distinct()
+    own = materialize(own.join(involved, "fp", "left_semi").select("fp", "sketch"))
+    every, turn, idle = materialize(links), 0, 0
+    while idle < 2:
+        groups = connected_components(every)
+        placed = keyed.join(groups, keyed.fp == groups.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+        placed = Table(placed)
+        centres = placed.df.groupBy("key").agg(
+            (F.min("component") < F.max("component")).alias("open"),
+            F.min_by(F.struct("fp", "component"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("centre"),
+        )
+        centres = centres.where("open").select("key", F.col("centre.fp").alias("dst"), F.col("centre.component").alias("other"))
+        pairs = placed.df.join(centres, "key").where("component <> other").select(F.col("fp").alias("src"), "dst").distinct()
+        new = materialize(_verified(pairs, own, similarity))
+        idle = 0 if new.take(1) else idle + 1
+        turn += 1
+        if not idle:
+            every = materialize(every.unionByName(new))
+        placed.drop()
+    return every
+
+
 def ball(bits: list[int], radius: int) -> np.ndarray:
     """All masks over the given bit places with at most `radius` bits set."""
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(bits, k)], dtype=U64)
@@ -169,9 +266,11 @@ def ball_links(fps: DataFrame, n: int, radius: int) -> DataFrame:
     return _deal(fps, views).groupBy("view", "bucket").applyInArrow(run, "src long, dst long")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 4, screen: bool = True) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 4, screen: bool = True, similarity: float | None = None) -> DataFrame:
     """(fp, root) for each distinct fp of `fps`: the representative of its connected group.
 
+    With `similarity`, `fps` also has the columns sketch and keys.
+
     With an odd radius the half ball rounds up, so a bucket's star may miss exact verification; use an
     even radius (4 by default).
     """
@@ -184,21 +283,27 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, screen: bool = True) -> D
         some = materialize(screened(own.repartition(partitions(spark), "fp"), n, radius))
         n = some.count()
     links = ball_links(some.repartition(partitions(spark), "fp"), n, radius)
+    if similarity is not None:
+        links = similar_links(fps.select("fp", "sketch", "keys").distinct(), links, similarity)
     groups = connected_components(links)
     return own.join(groups, own.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, screen: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, screen: bool = True, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
 
+    With `similarity`, texts whose sets of shingles have that Jaccard similarity or more link too, whatever
+    their fingerprints' distance; it is estimated from 512 min-wise hashes (standard error 0.018, one of which
+    is allowed below the bound), so texts some 0.05 below it may link, and a few right at it may not.
+
     Texts are lower-cased in A-Z only and cut at ASCII white space; shingles of `words` words, a shorter
     text is one shingle. Null, empty and blank texts have fingerprint 0 and link like any other. Equal
     texts share a fingerprint, so groups of copies of any size cost one fingerprint. Rows with null ids
     are kept; they name no component unless all of its ids are null. Other columns are ignored. An empty
     table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words))
-    roots = link_fingerprints(prints, radius, screen)
+    prints = materialize(fingerprints(docs, id_col, text_col, words) if similarity is None else _sketched(docs, id_col, text_col, words))
+    roots = link_fingerprints(prints, radius, screen, similarity)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     known = materialize(firsts.join(roots, "fp"))
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -60,6 +60,39 @@ def test_simhash(spark, corpus_texts):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_simhash_with_similarity(spark, corpus_texts):
+    """All texts at 0.85 and more are together; groups hang together by similarities of 0.7 and more (four standard errors)."""
+    rng = random.Random(3)
+    texts = list(corpus_texts)
+    for t in [t for t in corpus_texts if t and len(t.split()) > 70][:8]:
+        words = t.split(" ")
+        for edits in (1, 1, 2, 3, 4, 9):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "zz%d" % rng.randrange(1000)
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+    alike = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+
+    def groups(bound):
+        comp = list(range(len(sets)))
+        for _ in sets:
+            comp = [min(comp[j] for j in range(len(sets)) if alike[i][j] >= bound) for i in range(len(sets))]
+        return comp
+
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts), words=5, similarity=0.8).collect()}
+    fine, coarse = groups(0.85), groups(0.7)
+    assert len(got) == len(texts)
+    assert all(got[i] == got[fine[i]] and coarse[i] == coarse[got[i]] for i in got)
+    assert len(set(fine)) > len(set(got.values())) - 1 and len(set(fine)) < len(texts) - 20
+    assert simhash.near_duplicates(docs_of(spark, []), words=5, similarity=0.8).count() == 0
+    odd = docs_of(spark, ["a b c d e f", "a b c d e f", None, "", "a b c d e f"], [7, None, None, 3, 7])
+    assert sorted(r["component_id"] for r in simhash.near_duplicates(odd, words=5, similarity=0.8).collect()) == [3, 3, 7, 7, 7]
+
+
 def test_ball_hashing_finds_all_within_radius(spark):
     rng = random.Random(9)
     prints = [rng.getrandbits(64) for _ in range(200)]
