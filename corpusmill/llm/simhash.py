@@ -112,7 +112,10 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst) pairs with two sketches that agree often enough: within one standard error of `similarity`."""
+    """Links (src, dst) between the components of the pairs (src, component, dst, other) whose sketches agree often enough.
+
+    Enough is one standard error below `similarity`.
+    """
     least = HASHES * similarity - (HASHES * similarity * (1 - similarity)) ** 0.5
 
     def run(batches):
@@ -122,7 +125,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataF
 
     one = sketches.select(F.col("fp").alias("src"), F.col("sketch").alias("a"))
     two = sketches.select(F.col("fp").alias("dst"), F.col("sketch").alias("b"))
-    both = pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b")
+    both = pairs.join(one, "src").join(two, "dst").select(F.col("component").alias("src"), F.col("other").alias("dst"), "a", "b")
     return both.mapInArrow(run, "src long, dst long").distinct()
 
 
@@ -138,25 +141,32 @@ def similar_links(sketches: DataFrame, links: DataFrame, similarity: float) -> D
     keyed = own.select("fp", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg((F.min("fp") < F.max("fp")).alias("many")).where("many").select("key")
     keyed = materialize(keyed.join(shared, "key"))
-    involved = keyed.select("fp").distinct()
-    own = materialize(own.join(involved, "fp", "left_semi").select("fp", "sketch"))
-    every, turn, idle = materialize(links), 0, 0
+    own = materialize(own.join(keyed.select("fp").distinct(), "fp", "left_semi").select("fp", "sketch"))
+    every = materialize(links)
+    groups = connected_components(every)
+    placed = keyed.join(groups, keyed.fp == groups.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+    placed, turn, idle = Table(placed), 0, 0
     while idle < 2:
-        groups = connected_components(every)
-        placed = keyed.join(groups, keyed.fp == groups.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
-        placed = Table(placed)
         centres = placed.df.groupBy("key").agg(
             (F.min("component") < F.max("component")).alias("open"),
             F.min_by(F.struct("fp", "component"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("centre"),
         )
         centres = centres.where("open").select("key", F.col("centre.fp").alias("dst"), F.col("centre.component").alias("other"))
-        pairs = placed.df.join(centres, "key").where("component <> other").select(F.col("fp").alias("src"), "dst").distinct()
+        rows = Table(placed.df.join(centres, "key"))  # a bucket of one component never opens again
+        placed.drop()
+        pairs = rows.df.where("component <> other").groupBy(F.col("fp").alias("src"), "other").agg(F.min("dst").alias("dst"), F.min("component").alias("component"))
         new = materialize(_verified(pairs, own, similarity))
         idle = 0 if new.take(1) else idle + 1
         turn += 1
         if not idle:
-            every = materialize(every.unionByName(new))
-        placed.drop()
+            every = every.unionByName(new)
+            groups = connected_components(new).withColumnRenamed("component", "root")
+            after = rows.df.join(groups, rows.df.component == groups.node, "left").select("key", "fp", F.coalesce("root", "component").alias("component"))
+        else:
+            after = rows.df.select("key", "fp", "component")
+        placed = Table(after)
+        rows.drop()
+        spark._jvm.System.gc()  # a round's shuffle files go when the driver forgets its plans
     return every
 
 
