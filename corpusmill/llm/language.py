@@ -201,6 +201,10 @@ def platt(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+#: Sampling rates of at most so many languages are broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
+
+
 def _chars(text):
     return F.coalesce(F.length(text), F.lit(0)).cast("long")
 
@@ -211,6 +215,8 @@ def train(labelled: DataFrame, sample_chars: int = 3_000_000, reject_quantile: f
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.sum(_chars(F.col("text"))).alias("chars"))
     chance = sizes.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1))).alias("p"))
+    if rows.select("lang").distinct().count() <= BROADCAST_LANGUAGES:  # else whole texts would be shuffled by language
+        chance = F.broadcast(chance)
     draw = lambda s: F.pmod(F.xxhash64("text", F.lit(s)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(chance, F.col("lang") == F.col("l")).where(draw(seed) < F.col("p")).withColumn("test", draw(seed + 1) < 0.1).select("text", "lang", "test")
 
