@@ -93,6 +93,33 @@ def test_simhash_with_similarity(spark, corpus_texts):
     assert sorted(r["component_id"] for r in simhash.near_duplicates(odd, words=5, similarity=0.8).collect()) == [3, 3, 7, 7, 7]
 
 
+def similar(texts, bound):
+    """The smallest index of each text's group: linked by exact five-word shingle similarity, or by fingerprints within 4 bits."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [simhash.simhash(t.encode(), 5) for t in texts]
+    comp = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if comp[i] != comp[j] and ((prints[i] ^ prints[j]).bit_count() <= 4 or len(a & sets[j]) / len(a | sets[j]) >= bound):
+                comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+    return comp
+
+def test_simhash_finds_pairs_in_hot_buckets(spark):
+    """A family of one template, of similarity 0.75 to each other, with planted pairs above 0.8."""
+    rng = random.Random(13)
+    template = ["t%d" % i for i in range(600)]
+    texts = []
+    for k in range(330):
+        fill = ["f%d_%d" % (k, i) for i in range(96)]
+        texts.append(" ".join(template + fill))
+        if k < 30:
+            texts.append(" ".join(template + fill[:60] + ["g%d_%d" % (k, rng.randrange(10**9)) for _ in range(36)]))
+    want = similar(texts, 0.8)
+    assert len(texts) - len(set(want)) >= 30 and len(set(want)) > 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts), words=5, similarity=0.8).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_ball_hashing_finds_all_within_radius(spark):
     rng = random.Random(9)
     prints = [rng.getrandbits(64) for _ in range(200)]
@@ -138,7 +165,6 @@ def test_lines(spark, corpus_texts):
     assert got == want
     assert lines.without_repeated_lines(docs_of(spark, [])).count() == 0
 
-
 def test_mixing(spark, corpus_texts):
     docs = docs_of(spark, corpus_texts)
     rows = mixing.mix(docs.drop("size"), block_words=10).collect()
@@ -152,7 +178,6 @@ def test_mixing(spark, corpus_texts):
     assert mixed.select(lines.words_in(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == sum(r["taken"] for r in mixing.mix(docs.drop("size")).collect())
     assert mixing.mix(docs_of(spark, []).drop("size")).count() == 0
 
-
 def test_apportionment():
     rng = random.Random(2)
     for _ in range(50):
