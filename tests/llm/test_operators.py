@@ -104,6 +104,21 @@ def similar(texts, bound):
                 comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
     return comp
 
+
+def test_simhash_similarity_is_exact_at_the_bound(spark):
+    """Pairs of similarity 0.74 to 0.86, many at 0.8 exactly and just below: those of 0.8 and more link, no others."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        words = ["w%d_%d" % (k, i) for i in range(184)]  # 180 shingles; 20 other words at the end give 160 / 200
+        other = 14 + k % 13
+        texts += [" ".join(words), " ".join(words[:-other] + ["x%d_%d" % (k, rng.randrange(10**9)) for _ in range(other)])]
+    want = similar(texts, 0.8)
+    assert 20 < len(texts) - len(set(want)) < 130
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts), words=5, similarity=0.8).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_simhash_finds_pairs_in_hot_buckets(spark):
     """A family of one template, of similarity 0.75 to each other, with planted pairs above 0.8."""
     rng = random.Random(13)
