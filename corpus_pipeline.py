@@ -26,7 +26,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; so do documents that lose every line with words."""
-    left = lines.without_repeated_lines(docs, min_words=20).where((F.col("n_removed") == 0) | (lines.words_in(F.col("text")) > 0))
+    left = lines.without_repeated_lines(docs, min_words=1).where((F.col("n_removed") == 0) | (lines.words_in(F.col("text")) > 0))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

@@ -180,6 +180,14 @@ def test_lines(spark, corpus_texts):
     assert got == want
     assert lines.without_repeated_lines(docs_of(spark, [])).count() == 0
 
+
+def test_lines_without_floor(spark):
+    """From one word on, later copies of every repeated line go, whatever lies around them."""
+    texts = ["one\ntwo\n\nthree", "two\nfour five\n", "x\nthree\n\nx\none", None, ""]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.without_repeated_lines(docs_of(spark, texts), min_words=1).collect()}
+    assert got == {0: (texts[0], 0), 1: ("four five\n", 1), 2: ("x\n", 3), 3: (None, 0), 4: ("", 0)}
+
+
 def test_mixing(spark, corpus_texts):
     docs = docs_of(spark, corpus_texts)
     rows = mixing.mix(docs.drop("size"), block_words=10).collect()

@@ -23,3 +23,9 @@ def test_stages(spark):
     got = sorted((r["doc_id"], r["ids_sha256"]) for r in P.tokenise(spark, docs, SMALL).collect())
     want = sorted((r["doc_id"], hashlib.sha256(",".join(map(str, library.encode(r["text"], add_special_tokens=False).ids)).encode()).hexdigest()) for r in docs.collect())
     assert got == want
+
+
+def test_line_stage_deletes_short_repeated_lines(spark):
+    docs = spark.createDataFrame([(1, "alpha beta\ngamma", "en", "s", 16), (2, "alpha beta\ndelta", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.drop_repeated_lines(spark, docs, SMALL).collect()}
+    assert kept == {1: ("alpha beta\ngamma", 16), 2: ("delta", 5)}
