@@ -102,12 +102,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(mixed: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """Carries a mix out: each document as often as it is taken whole, and once cut to the words left over."""
+    """Carries a mix out: each document as often as it is taken whole, and once cut after the words left over, with the white space between them."""
     whole, rest = F.expr("taken div greatest(size, 1)"), F.expr("taken % greatest(size, 1)")
     copies = F.explode(F.sequence(F.lit(1), (whole + (rest > 0).cast("long")).cast("int")))
-    words = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+    # words with the white space after them; white space at the start is a piece of its own
+    pieces = F.split(F.col(text_col), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])", -1)
+    led = F.col(text_col).rlike("^[\\x20\\x09-\\x0D]").cast("int")
+    head = F.regexp_replace(F.array_join(F.slice(pieces, 1, F.col("mix_rest").cast("int") + led), ""), "[\\x20\\x09-\\x0D]+$", "")
     rows = mixed.where("taken > 0").withColumn("mix_whole", whole).withColumn("mix_rest", rest).withColumn("mix_copy", copies)
-    rows = rows.withColumn(text_col, F.when(F.col("mix_copy") <= F.col("mix_whole"), F.col(text_col)).otherwise(F.array_join(F.slice(words, 1, F.col("mix_rest").cast("int")), " ")))
+    rows = rows.withColumn(text_col, F.when(F.col("mix_copy") <= F.col("mix_whole"), F.col(text_col)).otherwise(head))
     if length_col:
         rows = rows.withColumn(length_col, F.length(text_col).cast("long"))
     return rows.drop("size", "source_size", "target", "taken", "mix_whole", "mix_rest", "mix_copy")

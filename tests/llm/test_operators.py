@@ -201,6 +201,17 @@ def test_mixing(spark, corpus_texts):
     assert mixed.select(lines.words_in(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == sum(r["taken"] for r in mixing.mix(docs.drop("size")).collect())
     assert mixing.mix(docs_of(spark, []).drop("size")).count() == 0
 
+
+def test_mixed_rows_keep_white_space(spark):
+    """A document cut at the border is a beginning of its text, up to the end of a word."""
+    texts = [" \n a\tb\n\nc  d\n", "e\nf", "g", "  ", "h  i"]
+    taken = [3, 5, 2, 0, 1]
+    rows = [(i, t, len(t.split()), 0, 0.0, n) for i, (t, n) in enumerate(zip(texts, taken))]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, size long, source_size long, target double, taken long")
+    got = sorted((r["doc_id"], r["text"]) for r in mixing.mixed_rows(mixed).collect())
+    assert got == [(0, " \n a\tb\n\nc"), (1, "e"), (1, "e\nf"), (1, "e\nf"), (2, "g"), (2, "g"), (4, "h")]
+
+
 def test_apportionment():
     rng = random.Random(2)
     for _ in range(50):
