@@ -13,7 +13,10 @@ SPACE = r"[\s\x1c-\x1f]"
 
 
 def clean_text(text: Column, drop_controls: bool = True, normalize_newlines: bool = True) -> Column:
-    """Drops control characters, unifies line ends, folds three or more of them to two, strips; null gives ''."""
+    """Drops control characters, unifies line ends, folds three or more of them to two, strips; null gives ''.
+
+    The class of control characters and the rule for line ends are fixed values.
+    """
     out = F.coalesce(text, F.lit(""))
     if drop_controls:
         out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -51,6 +54,12 @@ def _moved() -> tuple[str, str]:
     return "".join(map(chr, moved)), "".join(letters[b] for b in moved)
 
 
+def letter_tables() -> tuple[str, str]:
+    """(letters, bytes as Latin-1) for translate(): all letters that do not stand for themselves."""
+    raw, letters = _moved()
+    return letters, raw
+
+
 def to_byte_letters(text: Column) -> Column:
     """One letter per UTF-8 byte."""
     raw, letters = _moved()
@@ -110,3 +119,19 @@ def vocab_label(size: Column) -> Column:
 def run_name(name: Column) -> Column:
     """Lower case, trimmed, spaces and slashes as underscores."""
     return F.regexp_replace(F.lower(F.trim(name)), "[ /]", "_")
+
+
+def repo_name(run: Column) -> Column:
+    """The name a run is published under: without its time stamp (8 and 6 digits), lower case, dashes."""
+    return F.lower(F.replace(F.regexp_replace(run, r"^\d{8}_\d{6}_", ""), F.lit("_"), F.lit("-")))
+
+
+def shown_number(n: Column, whole: bool = True) -> Column:
+    """1234567 -> 1,234,567; numbers that are not whole with four decimals."""
+    return F.format_number(n, 0 if whole else 4)
+
+
+def shown_bytes(n: float) -> str:
+    """format_bytes() of a number on the driver."""
+    unit = next((k for k in range(4) if n < 1024.0 ** (k + 1)), 4)
+    return f"{n / 1024.0**unit:.2f} {('B', 'KB', 'MB', 'GB', 'TB')[unit]}"

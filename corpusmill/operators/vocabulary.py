@@ -1,8 +1,8 @@
 """Learning a byte-level vocabulary: word counts, pair counts, ranked merges, the vocabulary table.
 
-Counting is distributed. Merges are inherently sequential; `merge_steps` runs each as a small DataFrame
-job (for short models and for checking), `train` works on the collected word counts with an inverted
-index and a heap, which is what large vocabularies need. Counts are recounted exactly after each merge.
+Counting is distributed. Merges are sequential; `merge_steps` keeps the words distributed and takes as many
+merges from one count of pairs as need no recount, `train` works on the collected word counts with an
+inverted index and a heap as long as they fit the driver. Both give the merges of a full recount each time.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import Table
 
 #: Special tokens of a new vocabulary, in the order of their ids.
 SPECIAL_TOKENS = ["<|endoftext|>", "<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>"]
@@ -44,75 +46,150 @@ def merged(symbols, left: str, right: str):
     return F.replace(symbols, F.lit(f"\x02{left}\x03\x02{right}\x03"), F.lit(f"\x02{left}{right}\x03"))
 
 
-def merge_steps(words: DataFrame, merges: int, min_frequency: int = 2) -> list[tuple[str, str, int]]:
-    """(left, right, frequency) of up to `merges` merges: most frequent pair first, ties to the smallest pair."""
-    state, found = materialize(with_symbols(words).select("symbols", "n")), []
-    for _ in range(merges):
-        top = pair_counts(state).orderBy(F.desc("freq"), "l", "r").limit(1).collect()
-        if not top or top[0]["freq"] < min_frequency:
+def _safe(top: list[tuple[str, str, int]], whole: bool) -> list[tuple[str, str, int]]:
+    """The leading pairs of `top` (by frequency, then pair) that can be merged one after the other without a recount.
+
+    Joining (a, b) changes the counts of pairs that end in a or begin with b, and makes pairs that are no more
+    frequent than those. So the next pair is still the most frequent if all of those are rarer than it.
+    `whole`: `top` holds every pair; else what is missing is no more frequent than its last.
+    """
+    ends: dict[str, list[tuple[int, str, str]]] = defaultdict(list)
+    begins: dict[str, list[tuple[int, str, str]]] = defaultdict(list)
+    for a, b, n in top:
+        ends[b].append((n, a, b))
+        begins[a].append((n, a, b))
+    chosen, bar = [], 0
+    for a, b, n in top:
+        if chosen and (n <= bar or (not whole and n <= top[-1][2])):
             break
-        left, right, freq = top[0]["l"], top[0]["r"], top[0]["freq"]
-        found.append((left, right, freq))
-        state = state.withColumn("symbols", merged(F.col("symbols"), left, right))
+        chosen.append((a, b, n))
+        near = [m for m, x, y in ends[a] + begins[b] if (x, y) != (a, b) or a == b]
+        bar = max([bar, *near])
+    return chosen
+
+
+def merge_steps(words: DataFrame, merges: int, min_frequency: int = 2, look: int = 2048) -> list[tuple[str, str, int]]:
+    """(left, right, frequency) of up to `merges` merges: most frequent pair first, ties to the smallest pair.
+
+    The words stay distributed; a job counts the pairs and sends the `look` most frequent, from which all
+    merges are taken that need no recount. The words are written anew after some rounds.
+    """
+    state, found, pending = Table(with_symbols(words).select("symbols", "n")), [], 0
+    now = state.df
+    while len(found) < merges:
+        rows = pair_counts(now).where(F.col("freq") >= min_frequency).orderBy(F.desc("freq"), "l", "r").limit(look).collect()
+        if not rows:
+            break
+        chosen = _safe([(r["l"], r["r"], r["freq"]) for r in rows], len(rows) < look)[: merges - len(found)]
+        found += chosen
+        for left, right, _ in chosen:
+            now = now.withColumn("symbols", merged(F.col("symbols"), left, right))
+        pending += len(chosen)
+        if pending >= 16 and len(found) < merges:
+            state, old, pending = Table(now), state, 0
+            now = state.df
+            old.drop()
+    state.drop()
     return found
 
 
 def learn(counts: dict[tuple[str, ...], int], merges: int, min_frequency: int = 2) -> list[tuple[str, str, int]]:
     """The same merges from word counts in memory: an inverted index says which words a merge touches, and a
-    heap with stale entries gives the next pair."""
-    words = [list(w) for w in counts]
-    weight = list(counts.values())
-    freq: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for pair in zip(w, w[1:]):
-            freq[pair] += weight[i]
-            where[pair].add(i)
-    heap = [(-n, pair) for pair, n in freq.items()]
+    heap with stale entries gives the next pair. Pairs are counted and indexed as arrays before the first merge."""
+    letters = sorted({c for w in counts for c in w})
+    code = {c: i for i, c in enumerate(letters)}
+    lens = np.fromiter((len(w) for w in counts), dtype=np.int64, count=len(counts))
+    flat = np.fromiter((code[c] for w in counts for c in w), dtype=np.int64, count=int(lens.sum()))
+    return _learn(flat, lens, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), letters, merges, min_frequency)
+
+
+def _learn(flat: np.ndarray, lens: np.ndarray, weight: np.ndarray, tokens: list[str], merges: int, min_frequency: int) -> list[tuple[str, str, int]]:
+    """Words as one array of token numbers, `lens` of them a word; tokens: their strings."""
+    tokens, n = list(tokens), len(lens)
+    if not len(flat):
+        return []
+    number = {t: i for i, t in enumerate(tokens)}
+    begin = np.cumsum(lens) - lens
+    owner = np.repeat(np.arange(n), lens)
+    inner = np.flatnonzero(owner[:-1] == owner[1:])
+    pair_of, word_of = (flat[inner] << 32) | flat[inner + 1], owner[inner]
+    order = np.argsort(pair_of, kind="stable")
+    pair_of, word_of = pair_of[order], word_of[order]
+    kinds, first = np.unique(pair_of, return_index=True)
+    sums = np.add.reduceat(weight[word_of], first) if len(first) else np.zeros(0, dtype=np.int64)
+    last = np.append(first[1:], len(pair_of))
+    split = lambda c: (c >> 32, c & 0xFFFFFFFF)
+    freq = {split(c): f for c, f in zip(kinds.tolist(), sums.tolist(), strict=True)}
+    base = {split(c): (a, b) for c, a, b in zip(kinds.tolist(), first.tolist(), last.tolist(), strict=True)}
+    more: dict[tuple[int, int], set[int]] = defaultdict(set)
+    words: dict[int, list[int]] = {}  # those that a merge has touched
+    weights = weight.tolist()
+    heap = [(-f, tokens[a], tokens[b]) for (a, b), f in freq.items()]
     heapq.heapify(heap)
     found = []
     while heap and len(found) < merges:
-        n, pair = heapq.heappop(heap)
-        if freq.get(pair) != -n:
+        count, left, right = heapq.heappop(heap)
+        pair = (number[left], number[right])
+        if freq.get(pair) != -count:
             continue
-        if -n < min_frequency:
+        if -count < min_frequency:
             break
-        found.append((*pair, -n))
-        joined, touched = pair[0] + pair[1], set()
-        for i in where.pop(pair):
-            old, new, k = words[i], [], 0
+        found.append((left, right, -count))
+        made = number.setdefault(left + right, len(tokens))
+        if made == len(tokens):
+            tokens.append(left + right)
+        lo, hi = base.pop(pair, (0, 0))
+        touched: set[tuple[int, int]] = set()
+        for i in more.pop(pair, set()).union(word_of[lo:hi].tolist()):
+            old = words.get(i)
+            if old is None:
+                old = flat[begin[i] : begin[i] + lens[i]].tolist()
+            new, k = [], 0
             while k < len(old):
                 hit = k + 1 < len(old) and old[k] == pair[0] and old[k + 1] == pair[1]
-                new.append(joined if hit else old[k])
+                new.append(made if hit else old[k])
                 k += 1 + hit
             if len(new) == len(old):
                 continue
             for p in zip(old, old[1:]):
-                freq[p] -= weight[i]
+                freq[p] -= weights[i]
                 touched.add(p)
             for p in zip(new, new[1:]):
-                freq[p] += weight[i]
-                where[p].add(i)
+                freq[p] = freq.get(p, 0) + weights[i]
+                more[p].add(i)
                 touched.add(p)
             words[i] = new
         for p in touched:
             if freq[p] > 0:
-                heapq.heappush(heap, (-freq[p], p))
+                heapq.heappush(heap, (-freq[p], tokens[p[0]], tokens[p[1]]))
             else:
                 del freq[p]
-                where.pop(p, None)
+                more.pop(p, None)
+                base.pop(p, None)
     return found
 
 
-def train(words: DataFrame, vocab_size: int, min_frequency: int = 2, specials: list[str] | None = None) -> list[tuple[str, str, int]]:
-    """Merges for a vocabulary of `vocab_size`. Collects the distinct words with their counts, not the corpus."""
+def train(words: DataFrame, vocab_size: int, min_frequency: int = 2, specials: list[str] | None = None, driver_bytes: int = 1 << 28) -> list[tuple[str, str, int]]:
+    """Merges for a vocabulary of `vocab_size`.
+
+    The distinct words (never the corpus) are collected if they have `driver_bytes` at most; beyond that they
+    stay distributed and `merge_steps` finds the same merges.
+    """
     if vocab_size < 256 or min_frequency < 1:
         raise ValueError("vocab_size must be 256 at least and min_frequency 1 at least")
     special = SPECIAL_TOKENS if specials is None else specials
-    letters = T.byte_alphabet()
-    rows = words.where(F.octet_length("word") > 1).select("word", "n").toLocalIterator()
-    counts = {tuple(letters[b] for b in r["word"].encode()): r["n"] for r in rows}
-    return learn(counts, max(0, vocab_size - 256 - len(special)), min_frequency)
+    merges = max(0, vocab_size - 256 - len(special))
+    table = Table(words.where(F.octet_length("word") > 1).select("word", "n"))
+    size = table.df.agg(F.sum(F.octet_length("word") + 8)).first()[0] or 0
+    if size > driver_bytes:
+        return merge_steps(table.df, merges, min_frequency)
+    rows = table.df.toArrow()
+    table.drop()
+    raw = rows.column("word").combine_chunks().cast(pa.large_binary())
+    raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(raw) else np.zeros(0, np.uint8)
+    return _learn(data.astype(np.int64), np.diff(offsets), rows.column("n").to_numpy(), T.byte_alphabet(), merges, min_frequency)
 
 
 def vocabulary_tokens(merges: list[tuple[str, str, int]], specials: list[str] | None = None) -> list[str]:
@@ -128,3 +205,25 @@ def merge_table(spark: SparkSession, merges: list[tuple[str, str, int]]) -> Data
 
 def vocabulary_table(spark: SparkSession, merges: list[tuple[str, str, int]], specials: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(list(enumerate(vocabulary_tokens(merges, specials))), "id int, token string").select("token", "id")
+
+
+def specials_present(vocab: DataFrame, specials: list[str]) -> DataFrame:
+    """The rows of a vocabulary that are one of the special tokens (a handful)."""
+    named = vocab.sparkSession.createDataFrame([(s,) for s in specials], "token string")
+    return vocab.join(F.broadcast(named), "token", "left_semi")
+
+
+def sweep_counts(words: DataFrame, models: list) -> DataFrame:
+    """(vocab_size, n_tokens) of each model over word counts. Models are prefixes of one another, shortest first:
+    one pass replaces the merges in order and counts the symbols at each size."""
+    symbols = T.symbols_of(T.to_byte_letters(F.col("word")))
+    counts, done = [], 0
+    rows = words.withColumn("symbols", symbols)
+    for k, model in enumerate(models):
+        for left, right, _ in model.merges[done:]:
+            rows = rows.withColumn("symbols", merged(F.col("symbols"), left, right))
+        done = len(model.merges)
+        rows = rows.withColumn(f"size{k}", F.size(T.split_symbols(F.col("symbols"))))
+        counts.append(F.sum(F.col("n") * F.col(f"size{k}")).cast("long").alias(f"n{k}"))
+    pairs = F.array(*[F.struct(F.lit(len(m.tokens)).alias("vocab_size"), F.col(f"n{k}").alias("n_tokens")) for k, m in enumerate(models)])
+    return rows.agg(*counts).select(F.inline(pairs))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,16 +18,65 @@ def local_session(cpus: int | str = "*", app: str = "corpusmill", partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one is set only where it names none."""
+    """The folder that all executors share, as the session names it. Where it names none, a local one is set if the
+    master is local (tests); else it raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
 
 
+def path_of(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path) of a path in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+class Table:
+    """A DataFrame written to the shared folder and read again: its lineage is cut, and a lost executor costs nothing."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/corpusmill-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Deletes the files; call it only when nothing lazy reads them any more."""
+        fs, at = path_of(self.spark, self.path)
+        fs.delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which cuts the lineage for good."""
-    path = os.path.join(shared_dir(df.sparkSession), f"corpusmill-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Table(df).df
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in any store that Spark writes."""
+    fs, at = path_of(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, from any store that Spark reads."""
+    fs, at = path_of(spark, path)
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none if there is no such folder."""
+    fs, at = path_of(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
