@@ -53,3 +53,9 @@ def lm_blocks(ids: Column, block: int) -> Column:
     """(x, y) pairs: blocks of ids, and the same shifted by one."""
     n = F.floor((F.size(ids) - 1) / block)
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), ((n - 1) * block).cast("int"), F.lit(block)), lambda a: F.struct(F.slice(ids, a + 1, block).alias("x"), F.slice(ids, a + 2, block).alias("y"))))
+
+
+def split_ids(ids: Column, ratio: float = 0.9) -> tuple[Column, Column]:
+    """(training ids, validation ids): the sequence cut at `ratio` of its length."""
+    at = F.floor(F.size(ids) * ratio).cast("int")
+    return F.slice(ids, F.lit(1), at), F.slice(ids, at + 1, F.size(ids))
