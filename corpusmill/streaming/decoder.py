@@ -31,7 +31,7 @@ class TextDecoder:
         self.model, self.pending = model, bytes(pending)
 
     def feed(self, token_id: int) -> str:
-        if not 0 <= token_id < len(self.model.tokens):
+        if not 0 <= token_id < len(self.model.tokens) or self.model.tokens[token_id] is None:
             return ""
         token = self.model.tokens[token_id]
         if token in self.model.specials:
@@ -47,7 +47,7 @@ class TextDecoder:
 
 
 def decode_stream(tokens: DataFrame, model: Model) -> DataFrame:
-    """(stream_id, text) increments of a streaming DataFrame (stream_id long, pos long, token_id int, last boolean).
+    """(stream_id, pos, text) increments, pos that of the first token in them, of a streaming DataFrame (stream_id long, pos long, token_id int, last boolean).
 
     Tokens of a stream are taken in the order of pos within a micro-batch; `last` flushes and ends it.
     """
@@ -56,7 +56,8 @@ def decode_stream(tokens: DataFrame, model: Model) -> DataFrame:
     def run(key, frames, state: GroupState):
         decoder = TextDecoder(shared.value, state.get[0] if state.exists else b"")
         out, ended = [], False
-        for row in pd.concat(list(frames)).sort_values("pos").itertuples():
+        rows = pd.concat(list(frames)).sort_values("pos")
+        for row in rows.itertuples():
             out.append(decoder.feed(int(row.token_id)))
             if row.last:
                 out.append(decoder.flush())
@@ -65,9 +66,9 @@ def decode_stream(tokens: DataFrame, model: Model) -> DataFrame:
             state.remove()
         else:
             state.update((decoder.pending,))
-        yield pd.DataFrame({"stream_id": [key[0]], "text": ["".join(out)]})
+        yield pd.DataFrame({"stream_id": [key[0]], "pos": [rows["pos"].iloc[0]], "text": ["".join(out)]})
 
-    return tokens.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, text string", "pending binary", "append", GroupStateTimeout.NoTimeout)
+    return tokens.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, pos long, text string", "pending binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def quota_stream(docs: DataFrame, quota_bytes: int) -> DataFrame:
