@@ -6,17 +6,21 @@ soil them first, in the same way on both sides. Models are learned from the quer
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import batching, codec, corpus, metrics, robustness
+from .operators import batching, codec, corpus, external, metrics, robustness
 from .operators import vocabulary as V
+from .plans import config as configs
 from .plans import pipelines
+from .session import Table, read_text, shared_dir, write_text
 from .sources import model_files, text_files
-from .streaming.decoder import decode_stream
+from .streaming.decoder import decode_stream, quota_stream
 
 MERGES = 12
 QUOTA, EVAL_SHARE, TRAIN_SHARE = 60_000, 10_000, 40_000
@@ -139,10 +143,13 @@ def _joined(ids):
     return F.array_join(ids.cast("array<string>"), ",")
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, codec.Model]:
-    docs, model = _docs(spark, sf_dir), _model(spark, sf_dir)
-    encoded = codec.encode(docs, model)
-    return metrics.measured(docs, encoded, codec.decode(encoded, model), model.ids["<|unk|>"]), model
+def _measured(spark: SparkSession, sf_dir: str, keep: str) -> tuple[DataFrame, codec.Model]:
+    model = _model(spark, sf_dir)
+    return codec.measure(_docs(spark, sf_dir), model, [keep]), model
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 # --- corpus -----------------------------------------------------------------------------------------------
@@ -199,12 +206,102 @@ def mix_validation(spark, sf_dir):
     return corpus.check_mix(mix, 9.5).select("n_enabled", F.round("sum_mb", 6).alias("sum_mb"), "is_valid")
 
 
-@_query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5('42-' || doc_id::VARCHAR), doc_id))::INTEGER AS place FROM documents")
+@_query(f"WITH {_SPLIT} SELECT doc_id, split, (row_number() OVER (ORDER BY split = 'eval', md5('42-' || doc_id::VARCHAR), doc_id) - 1)::BIGINT AS place FROM split WHERE split IS NOT NULL")
 def seeded_shuffle(spark, sf_dir):
-    from pyspark.sql import Window
+    return corpus.global_shuffle(_split(spark, sf_dir).select("doc_id", "split"))
+
+
+_TOTAL_MB, _EVAL_MB = 0.12, 0.03
+_MIX = f"""mix AS (SELECT source, source <> 'src3' AS enabled, 0.005::DOUBLE + 0.001::DOUBLE * (count(*) % 4) AS target_mb FROM documents GROUP BY source
+), shares AS (
+  SELECT source, trunc(target_mb * 1048576.0::DOUBLE)::BIGINT AS train_bytes, trunc(target_mb / {_TOTAL_MB}::DOUBLE * {_EVAL_MB}::DOUBLE * 1048576.0::DOUBLE)::BIGINT AS eval_bytes FROM mix WHERE enabled
+)"""
 
-    order = Window.partitionBy("source").orderBy(corpus.seeded_key(), "doc_id")
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(order).cast("int").alias("place"))
+
+def _shares(spark, sf_dir):
+    mix = _table(spark, sf_dir, "documents").groupBy("source").agg((F.lit(0.005) + F.lit(0.001) * (F.count(F.lit(1)) % 4)).alias("target_mb"))
+    mix = mix.withColumn("enabled", F.col("source") != "src3").withColumn("text_column", F.lit("text"))
+    return corpus.mix_shares(mix, _TOTAL_MB, _EVAL_MB)
+
+
+@_query(f"WITH {_MIX} SELECT source, 'text' AS text_column, train_bytes, eval_bytes FROM shares")
+def mix_shares(spark, sf_dir):
+    return _shares(spark, sf_dir)
+
+
+@_query(f"""WITH {_CLEAN}, {_MIX}, sized AS (
+  SELECT c.source, doc_id, strlen(clean)::BIGINT AS n, train_bytes, eval_bytes, coalesce(sum(strlen(clean)) OVER w, 0)::BIGINT AS bytes_before, coalesce(sum(strlen(clean) + 2) OVER w, 0)::BIGINT AS before
+  FROM cleaned c JOIN shares USING (source) WHERE length(clean) >= 50 WINDOW w AS (PARTITION BY c.source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), reached AS (
+  SELECT *, coalesce(max(CASE WHEN before < eval_bytes THEN before + n + 2 END) OVER (PARTITION BY source), 0) AS r FROM sized WHERE bytes_before < train_bytes + eval_bytes
+)
+SELECT source, doc_id, CASE WHEN before < eval_bytes THEN 'eval' ELSE 'train' END AS split, n + 2 AS stored FROM reached WHERE before < eval_bytes OR before - r < train_bytes""")
+def config_split(spark, sf_dir):
+    docs = _clean(spark, sf_dir).select("source", "doc_id", "clean")
+    return corpus.split_by_shares(docs, _shares(spark, sf_dir)).select("source", "doc_id", "split", "stored")
+
+
+_CONFIG = {"corpus": {"name": "demo", "total_target_mb": 3.0, "eval_target_mb": 0.5, "seed": 7}, "sources": {"documents": {"target_mb": 2.0}, "pages": {"target_mb": 1.0, "text_column": "html", "enabled": True}, "old": {"target_mb": 9.0, "enabled": False}}}
+
+
+@_query("SELECT * FROM (VALUES ('documents', TRUE, 2.0::DOUBLE, 'text'), ('pages', TRUE, 1.0::DOUBLE, 'html'), ('old', FALSE, 9.0::DOUBLE, 'text')) t(source, enabled, target_mb, text_column)")
+def config_files(spark, sf_dir):
+    """A mix configuration written and read as YAML and as JSON."""
+    folder, found = _folder(spark, "config"), []
+    for name in ("mix.yaml", "mix.json"):
+        configs.write_config(spark, _CONFIG, f"{folder}/{name}")
+        found.append(configs.read_config(spark, f"{folder}/{name}"))
+    if found[0] != found[1]:
+        raise ValueError("YAML and JSON do not agree")
+    configs.check_total(found[0])
+    return configs.mix_sources(spark, found[0]).drop("dataset")
+
+
+@_query("SELECT 'documents' AS source, count(*)::BIGINT AS n_docs, sum(strlen(text))::BIGINT AS n_bytes FROM documents WHERE text <> '' UNION ALL SELECT 'pages', count(*)::BIGINT, sum(strlen(html))::BIGINT FROM pages WHERE html <> ''")
+def concat_sources(spark, sf_dir):
+    rows = pipelines.read_mix(spark, _CONFIG, lambda name, _: f"{sf_dir}/{name}.parquet")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("text")).alias("n_bytes"))
+
+
+@_query("SELECT 'pages' AS source, md5(html) AS digest, count(*)::BIGINT AS n FROM pages WHERE html IS NOT NULL AND html <> '' GROUP BY html")
+def source_scan(spark, sf_dir):
+    """Pages written as JSON lines and read as a source of another format with another text column."""
+    folder = _folder(spark, "scan")
+    _table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 >= 0, F.col("html")).alias("body")).write.json(folder)
+    return text_files.read_source(spark, folder, "body", "json", "pages").groupBy("source", F.md5("text").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_CLEAN} SELECT source, sum(strlen(clean) + 2)::BIGINT AS n_bytes FROM cleaned WHERE length(clean) >= 50 GROUP BY source")
+def stored_sizes(spark, sf_dir):
+    return text_files.stored_bytes(_clean(spark, sf_dir), by=["source"])
+
+
+@_query(f"WITH {_SPLIT} SELECT split, sum(length(clean) - length(replace(clean, chr(10), '')) + 2)::BIGINT AS n_lines, sum(stored)::BIGINT AS n_bytes FROM split JOIN cleaned USING (source, doc_id) WHERE split IS NOT NULL GROUP BY split")
+def corpus_writer(spark, sf_dir):
+    """The corpus files of both splits, read back line by line."""
+    folder = _folder(spark, "corpus")
+    docs = _clean(spark, sf_dir).select("source", "doc_id", "clean")
+    built = docs.join(_split(spark, sf_dir).select("source", "doc_id", "split"), ["source", "doc_id"]).withColumn("key", corpus.seeded_key())
+    text_files.write_corpus(built, folder)
+    rows = None
+    for split in ("train", "eval"):
+        lines = text_files.read_corpus(spark, f"{folder}/split={split}")
+        one = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("line") + 1).alias("n_bytes")).select(F.lit(split).alias("split"), "n_lines", "n_bytes")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@_query("SELECT line_no, line FROM (SELECT (row_number() OVER (ORDER BY page_id, k) - 1)::BIGINT AS line_no, line FROM (SELECT page_id, unnest(string_split(html || chr(10), chr(10))) AS line, generate_subscripts(string_split(html || chr(10), chr(10)), 1) AS k FROM pages)) WHERE line_no < 5000")
+def text_scan(spark, sf_dir):
+    """The first 5,000 lines of a corpus folder, by position."""
+    folder = _folder(spark, "lines")
+    text_files.write_source(_table(spark, sf_dir, "pages"), folder, "html", "page_id")
+    return text_files.read_corpus(spark, folder, 5000)
+
+
+@_query("SELECT block, sha256(string_agg(sha, '' ORDER BY doc_id)) AS sha256, sum(size)::BIGINT AS n_bytes, count(*)::BIGINT AS n_docs FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 100)::BIGINT AS block, sha256(text || chr(10) || chr(10)) AS sha, strlen(text) + 2 AS size FROM documents) GROUP BY block")
+def block_digests(spark, sf_dir):
+    return text_files.block_digests(_table(spark, sf_dir, "documents"), "doc_id", "text", block_docs=100)
 
 
 @_query("WITH r AS (SELECT doc_id, text, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM documents) SELECT doc_id, length(text[1 : 500000 - place])::BIGINT AS n_chars, md5(text[1 : 500000 - place]) AS digest FROM r WHERE place < 500000")
@@ -274,6 +371,20 @@ def vocab_table(spark, sf_dir):
     return V.vocabulary_table(spark, _model(spark, sf_dir).merges)
 
 
+@_query(f"WITH {_merge_sql(MERGES)} SELECT token, id FROM vocab WHERE token IN ({', '.join(repr(t) for t in V.SPECIAL_TOKENS)})")
+def specials_present(spark, sf_dir):
+    return V.specials_present(vocab_table(spark, sf_dir), [*V.SPECIAL_TOKENS, "<|other|>"])
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT token, id FROM vocab")
+def model_reader(spark, sf_dir):
+    """The vocabulary of a model that was written to the shared folder and read again."""
+    folder = _folder(spark, "model")
+    model_files.save_model(_model(spark, sf_dir), folder, spark)
+    again = model_files.load_model(folder, spark)
+    return spark.createDataFrame(list(again.ids.items()), "token string, id int")
+
+
 # --- encoding ---------------------------------------------------------------------------------------------
 
 
@@ -285,9 +396,33 @@ def encode_tokens(spark, sf_dir):
 
 @_query("SELECT doc_id, md5(text) AS digest, TRUE AS is_lossless FROM documents")
 def decode_roundtrip(spark, sf_dir):
-    docs, model = _docs(spark, sf_dir), _model(spark, sf_dir)
-    back = codec.decode(codec.encode(docs, model), model).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").select("doc_id", F.md5("back").alias("digest"), (F.col("text") == F.col("back")).alias("is_lossless"))
+    """Encodes and decodes; the key carries the digest of the text, so that nothing is joined."""
+    model = _model(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select(F.struct("doc_id", F.md5("text").alias("digest")).alias("key"), "text")
+    back = codec.decode(codec.encode(docs, model, "key"), model, "key").withColumn("own", F.md5("text"))
+    return back.select("key.doc_id", F.col("own").alias("digest"), (F.col("own") == F.col("key.digest")).alias("is_lossless"))
+
+
+@_query(f"WITH {_ENCODED} SELECT doc_id, len(ts)::INTEGER AS n_tokens, md5(array_to_string(ts, '|')) AS digest FROM (SELECT doc_id, list(token ORDER BY pos) AS ts FROM (SELECT doc_id, unnest(ids) AS id, unnest(range(0, len(ids))) AS pos FROM encoded) JOIN vocab USING (id) GROUP BY doc_id)")
+def subwords(spark, sf_dir):
+    found = codec.tokenize(_docs(spark, sf_dir), _model(spark, sf_dir)).where(F.size("tokens") > 0)
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", "|")).alias("digest"))
+
+
+@_query()
+def large_vocabulary(spark, sf_dir):
+    """2,000 merges learned and used; too many for unrolled SQL (tests hold it against brute force)."""
+    model = _model(spark, sf_dir, 2000)
+    return codec.measure(_docs(spark, sf_dir), model, ["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "is_lossless")
+
+
+@_query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def skip_special_tokens(spark, sf_dir):
+    """Turns parted by special tokens, encoded with them and decoded without."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    docs = turns.select("conv_id", F.concat(F.array_join(F.transform("t", lambda x: x["text"]), STAMP), F.lit(STAMP)).alias("text"))
+    model = _model(spark, sf_dir)
+    return codec.decode(codec.encode(docs, model, "conv_id", allowed="all"), model, "conv_id", skip_special=True)
 
 
 @_query(f"SELECT conv_id, array_to_string(list_concat(['{STAMP}'], list_filter(flatten(list([text, '{STAMP}'] ORDER BY turn)), lambda x: x <> '')), '|') AS parts FROM conversations GROUP BY conv_id")
@@ -299,18 +434,21 @@ def special_token_split(spark, sf_dir):
 
 @_query("SELECT conv_id, turn, turn % 2 = 0 AS is_allowed FROM conversations")
 def special_token_guard(spark, sf_dir):
+    """Odd turns hold a special token; the guard raises just where this says so."""
     text = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(STAMP)))
-    held = text.rlike("<\\|(endoftext|pad|unk|bos|eos)\\|>")
-    guarded = codec.guard_specials(F.when(~held, text).otherwise(F.lit("")), V.SPECIAL_TOKENS, None)
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", (guarded.isNotNull() & ~held).alias("is_allowed"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (~codec.holds_banned(text, V.SPECIAL_TOKENS, None)).alias("is_allowed"), text.alias("text"))
+    allowed = codec.guard_specials(F.when(F.col("is_allowed"), F.col("text")), V.SPECIAL_TOKENS, None)
+    return rows.select("conv_id", "turn", (F.col("is_allowed") & allowed.isNotNull()).alias("is_allowed"))
 
 
-@_query(f"WITH {_ENCODED} SELECT doc_id, pos, id, token, hex(encode(token)) AS letter_hex FROM (SELECT doc_id, unnest(ids) AS id, (unnest(range(0, len(ids))))::INTEGER AS pos FROM (SELECT doc_id, ids[1:30] AS ids FROM encoded)) JOIN vocab USING (id)")
+@_query(f"""WITH {_ENCODED}, raw AS (SELECT unnest(letters) AS letter, unnest(range(0, 256)) AS b FROM alphabet
+), bytes AS (SELECT id, string_agg(printf('%02X', b), '' ORDER BY k) AS byte_hex, count(*)::INTEGER AS n_bytes FROM (SELECT id, unnest(string_split(token, '')) AS letter, unnest(range(0, length(token))) AS k FROM vocab WHERE token NOT LIKE '<|%') JOIN raw USING (letter) GROUP BY id)
+SELECT doc_id, pos, id, token, replace(token, chr(288), chr(183)) AS display, byte_hex, n_bytes
+FROM (SELECT doc_id, unnest(ids) AS id, (unnest(range(0, len(ids))))::INTEGER AS pos FROM (SELECT doc_id, ids[1:30] AS ids FROM encoded)) JOIN vocab USING (id) JOIN bytes USING (id)""")
 def token_inspection(spark, sf_dir):
     model = _model(spark, sf_dir)
     first = codec.encode(_docs(spark, sf_dir), model).withColumn("ids", batching.truncate(F.col("ids"), 30))
-    rows = codec.tokens_of(first, V.vocabulary_table(spark, model.merges))
-    return rows.select("doc_id", "pos", "id", "token", F.hex(F.encode("token", "UTF-8")).alias("letter_hex"))
+    return codec.inspected(codec.tokens_of(first, V.vocabulary_table(spark, model.merges)), 30)
 
 
 # --- batches: ids are the byte lengths of a turn's chunks ------------------------------------------------------
@@ -350,36 +488,42 @@ def lm_blocks(spark, sf_dir):
     return _turn_ids(spark, sf_dir).select("conv_id", "turn", F.explode(batching.lm_blocks(F.col("ids"), 16)).alias("b")).select("conv_id", "turn", _joined(F.col("b.x")).alias("x"), _joined(F.col("b.y")).alias("y"))
 
 
+@_query(f"WITH {_IDS} SELECT conv_id, turn, array_to_string(ids[1 : floor(len(ids) * 0.9)::INTEGER], ',') AS train, array_to_string(ids[floor(len(ids) * 0.9)::INTEGER + 1 :], ',') AS val FROM ids")
+def lm_split(spark, sf_dir):
+    train, val = batching.split_ids(F.col("ids"))
+    return _turn_ids(spark, sf_dir).select("conv_id", "turn", _joined(train).alias("train"), _joined(val).alias("val"))
+
+
 # --- metrics ----------------------------------------------------------------------------------------------
 
 
 @_query(f"WITH {_MEASURED} SELECT lang, sum(n_bytes)::BIGINT AS n_bytes, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_bytes) / sum(n_tokens), 4)::DOUBLE AS compression_ratio FROM measured GROUP BY lang")
 def compression_by_lang(spark, sf_dir):
-    rows, model = _measured(spark, sf_dir)
+    rows, model = _measured(spark, sf_dir, "lang")
     return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_bytes", "n_tokens", "compression_ratio")
 
 
 @_query(f"WITH {_MEASURED} SELECT lang, sum(n_words)::BIGINT AS n_words, round(sum(n_tokens) / sum(n_words), 4)::DOUBLE AS fertility FROM measured GROUP BY lang")
 def fertility_by_lang(spark, sf_dir):
-    rows, model = _measured(spark, sf_dir)
+    rows, model = _measured(spark, sf_dir, "lang")
     return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_words", "fertility")
 
 
 @_query(f"WITH {_MEASURED} SELECT lang, count(DISTINCT id)::BIGINT AS n_used, round(count(DISTINCT id) / (SELECT count(*) FROM vocab) * 100, 2)::DOUBLE AS used_percent FROM (SELECT lang, unnest(ids) AS id FROM measured) GROUP BY lang")
 def vocab_utilization(spark, sf_dir):
-    rows, model = _measured(spark, sf_dir)
+    rows, model = _measured(spark, sf_dir, "lang")
     return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_used", "used_percent")
 
 
 @_query(f"WITH {_MEASURED} SELECT lang, (count(*) FILTER (id = 2))::BIGINT AS n_unk, round((count(*) FILTER (id = 2)) / count(*) * 100, 4)::DOUBLE AS unk_percent FROM (SELECT lang, unnest(ids) AS id FROM measured) GROUP BY lang")
 def unk_rate(spark, sf_dir):
-    rows, model = _measured(spark, sf_dir)
+    rows, model = _measured(spark, sf_dir, "lang")
     return metrics.domain_report(rows, ["lang"], len(model.tokens)).select("lang", "n_unk", "unk_percent")
 
 
 @_query("SELECT source, TRUE AS all_lossless, count(*)::BIGINT AS n_docs FROM documents GROUP BY source")
 def losslessness(spark, sf_dir):
-    rows, _ = _measured(spark, sf_dir)
+    rows, _ = _measured(spark, sf_dir, "source")
     return rows.groupBy("source").agg(F.every("is_lossless").alias("all_lossless"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -391,12 +535,26 @@ def first_difference(spark, sf_dir):
 
 @_query(f"WITH {_MEASURED} SELECT coalesce(lang, 'overall') AS domain, sum(n_bytes)::BIGINT AS n_bytes, sum(n_words)::BIGINT AS n_words, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_bytes) / sum(n_tokens), 4)::DOUBLE AS compression_ratio, round(sum(n_tokens) / sum(n_words), 4)::DOUBLE AS fertility, TRUE AS all_lossless FROM measured GROUP BY GROUPING SETS ((lang), ())")
 def domain_benchmark(spark, sf_dir):
-    rows, model = _measured(spark, sf_dir)
-    one = metrics.domain_report(rows, ["lang"], len(model.tokens)).withColumnRenamed("lang", "domain")
-    total = one.agg(*[F.sum(c).cast("long").alias(c) for c in ("n_bytes", "n_words", "n_tokens")], F.every("all_lossless").alias("all_lossless")).withColumn("domain", F.lit("overall"))
-    total = total.withColumn("compression_ratio", T.ratio(F.col("n_bytes"), F.col("n_tokens"))).withColumn("fertility", T.ratio(F.col("n_tokens"), F.col("n_words")))
-    keep = ["domain", "n_bytes", "n_words", "n_tokens", "compression_ratio", "fertility", "all_lossless"]
-    return one.select(keep).unionByName(total.select(keep))
+    rows, model = _measured(spark, sf_dir, "lang")
+    report = metrics.domain_report(rows, ["lang"], len(model.tokens), "overall").withColumnRenamed("lang", "domain")
+    return report.select("domain", "n_bytes", "n_words", "n_tokens", "compression_ratio", "fertility", "all_lossless")
+
+
+_SLICES = ", ".join(f"('{d}', octet_length(from_hex('{t.encode().hex()}')))" for d, t in robustness.domain_slices())
+
+
+@_query(f"WITH s(domain, n) AS (VALUES {_SLICES}) SELECT coalesce(domain, 'overall') AS domain, sum(n)::BIGINT AS n_bytes, TRUE AS all_lossless FROM s GROUP BY GROUPING SETS ((domain), ())")
+def domain_slices(spark, sf_dir):
+    """The seven built-in slices, and all of them."""
+    return pipelines.evaluate(robustness.slice_table(spark), _model(spark, sf_dir), ["domain"], overall="overall").select("domain", "n_bytes", "all_lossless")
+
+
+@_query(f"WITH {_MEASURED} SELECT lang, sum(n_bytes)::BIGINT AS n_bytes, sum(n_tokens)::BIGINT AS n_tokens, round(sum(n_tokens) / sum(n_words), 4)::DOUBLE AS fertility, TRUE AS all_lossless FROM measured GROUP BY lang")
+def external_tokenizer(spark, sf_dir):
+    """The same vocabulary by the tokenizers library, from the tokenizer.json that we write."""
+    spec = json.dumps(model_files.model_texts(_model(spark, sf_dir))["tokenizer.json"], ensure_ascii=False)
+    found = pipelines.evaluate(_docs(spark, sf_dir), external.from_tokenizer_text(spec, "own"), ["lang"])
+    return found.select("lang", "n_bytes", "n_tokens", "fertility", "all_lossless")
 
 
 @_query(f"WITH {_WORDS} SELECT word, n, (row_number() OVER (ORDER BY n DESC, word))::BIGINT AS zipf_rank, round((max(n) OVER ()) / (row_number() OVER (ORDER BY n DESC, word)), 4)::DOUBLE AS theoretical FROM words")
@@ -411,17 +569,21 @@ def subword_lengths(spark, sf_dir):
 
 @_query(f"WITH {_merge_sql(MERGES)} " + " UNION ALL ".join(f"SELECT {261 + k} AS vocab_size, (SELECT sum(n * (len(s) - len(replace(s, chr(2), ''))))::BIGINT FROM s{k}) AS n_tokens" for k in (0, 4, 8, 12)))
 def vocab_sweep(spark, sf_dir):
-    words = word_frequencies(spark, sf_dir)
-    symbols = words.withColumn("symbols", T.symbols_of(T.to_byte_letters(F.col("word"))))
-    rows, last = None, 0
-    model = _model(spark, sf_dir)
-    for small in pipelines.sweep(model, [261, 265, 269, 273]):
-        for left, right, _ in model.merges[last : len(small.merges)]:
-            symbols = symbols.withColumn("symbols", V.merged(F.col("symbols"), left, right))
-        last = len(small.merges)
-        one = symbols.agg(F.sum(F.col("n") * F.size(T.split_symbols(F.col("symbols")))).cast("long").alias("n_tokens")).select(F.lit(len(small.tokens)).alias("vocab_size"), "n_tokens")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """One training and one pass over the words for all sizes."""
+    table = Table(word_frequencies(spark, sf_dir))
+    model = codec.Model(V.train(table.df, 256 + len(V.SPECIAL_TOKENS) + MERGES))
+    return V.sweep_counts(table.df, pipelines.sweep(model, [261, 265, 269, 273]))
+
+
+@_query(f"WITH {_merge_sql(MERGES)} SELECT count(*)::BIGINT AS n_tokens, round(avg(length(token)), 4)::DOUBLE AS mean_length, median(length(token))::DOUBLE AS median_length, max(length(token))::INTEGER AS max_length FROM vocab")
+def token_length_figures(spark, sf_dir):
+    return metrics.length_figures(vocab_table(spark, sf_dir))
+
+
+@_query("SELECT source, round(avg(length(text) / 100.0::DOUBLE), 6)::DOUBLE AS mean_loss, count(*)::BIGINT AS n_losses FROM documents WHERE doc_id % 7 <> 0 GROUP BY source")
+def mean_losses(spark, sf_dir):
+    loss = F.when(F.col("doc_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.length("text") / F.lit(100.0))
+    return metrics.mean_loss(_table(spark, sf_dir, "documents").select("source", loss.alias("loss")), ["source"]).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 # --- runs: one per source, entered twice ------------------------------------------------------------------------
@@ -452,6 +614,44 @@ def pareto_points(spark, sf_dir):
     return metrics.pareto(runs.where("seq = 0").drop("seq"), runs.where("seq = 1").select("run_id", F.col("overall_cr").alias("bpc")))
 
 
+@_query(f"WITH {_RUNS} SELECT a.run_id, a.overall_cr, b.overall_cr AS bpc FROM runs a LEFT JOIN (SELECT * FROM runs WHERE seq = 1 AND run_id NOT LIKE '%5') b USING (run_id) WHERE a.seq = 0")
+def runs_with_results(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    results = runs.where("seq = 1 AND run_id NOT LIKE '%5'").select("run_id", F.col("overall_cr").alias("bpc"))
+    return metrics.with_results(runs.where("seq = 0").select("run_id", "overall_cr"), results)
+
+
+@_query("""WITH r AS (SELECT source, count(*) AS k, sum(strlen(text)) AS b, sum(length(text)) AS c FROM documents GROUP BY source
+), runs AS (
+  SELECT '20260101_000000_' || source AS run_id, 'Model ' || source AS model_name, (1000 * k)::BIGINT AS vocab_size, c::BIGINT AS total_tokens, round(b / c, 4)::DOUBLE AS overall_cr, CASE WHEN source NOT LIKE '%5' THEN round(c / b, 3) END::DOUBLE AS val_bpc FROM r
+  UNION ALL SELECT 'reference_plain', 'Plain', 1000, 1, 1.0, NULL
+)
+SELECT *, (row_number() OVER (ORDER BY overall_cr DESC, run_id))::INTEGER AS position FROM runs""")
+def leaderboard_rebuild(spark, sf_dir):
+    """A run folder per source, two of them without language-model results, and a reference file; read and ranked."""
+    base = _folder(spark, "experiments")
+    totals = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("text")).alias("b"), F.sum(F.length("text")).alias("c"))
+    for r in totals.withColumn("cr", F.round(F.col("b") / F.col("c"), 4)).collect():  # a row per source, each a file
+        figures = {"model_name": f"Model {r['source']}", "vocab_size": 1000 * r["k"], "overall": {"total_tokens": r["c"], "compression_ratio": r["cr"], "fertility": 2.0}}
+        run_id = pipelines.start_run(spark, f"{base}/runs", r["source"], now="20260101_000000")
+        pipelines.save_run(spark, f"{base}/runs", run_id, figures, results=None if r["source"].endswith("5") else {"val_bits_per_character": r["c"] / r["b"]})
+    write_text(spark, f"{base}/reference_plain.json", json.dumps({"model_name": "Plain", "vocab_size": 1000, "overall": {"total_tokens": 1, "compression_ratio": 1.0}}))
+    board = pipelines.rebuild_leaderboard(spark, f"{base}/runs", base)
+    return board.select("run_id", "model_name", "vocab_size", "total_tokens", "overall_cr", "val_bpc", "position")
+
+
+@_query("SELECT source, 'my-run-' || source AS dated, lower(replace('20_x_' || source, '_', '-')) AS plain FROM documents GROUP BY source")
+def repo_names(spark, sf_dir):
+    sources = _table(spark, sf_dir, "documents").select("source").distinct()
+    return sources.select("source", T.repo_name(F.concat(F.lit("20260101_120000_My_Run_"), "source")).alias("dated"), T.repo_name(F.concat(F.lit("20_x_"), "source")).alias("plain"))
+
+
+@_query("SELECT source, format('{:,}', sum(length(text))::BIGINT) AS whole, format('{:,.4f}', (sum(length(text)) / 8)::DOUBLE) AS decimals FROM documents GROUP BY source")
+def shown_numbers(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("c"))
+    return rows.select("source", T.shown_number(F.col("c")).alias("whole"), T.shown_number(F.col("c") / 8, False).alias("decimals"))
+
+
 @_query("WITH r AS (SELECT source, avg(length(text)) / 400.0 AS loss, 2 + count(*) % 3 AS bpt FROM documents GROUP BY source) SELECT source, round(loss / bpt, 4)::DOUBLE AS loss_per_byte, round(loss / bpt / ln(2), 4)::DOUBLE AS bits_per_byte, round(exp(loss), 4)::DOUBLE AS perplexity FROM r")
 def bpc_from_loss(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").groupBy("source").agg((F.avg(F.length("text")) / 400.0).alias("loss"), (2 + F.count(F.lit(1)) % 3).alias("bpt"))
@@ -470,60 +670,91 @@ def corpus_digest(spark, sf_dir):
     return text_files.corpus_digest(rows, "key", "text")
 
 
-# --- random, stateful or driver-side: rows only -----------------------------------------------------------------
+# --- streams, files, hard strings -------------------------------------------------------------------------------
 
+_FILES = ", ".join(f"('{n}')" for n in sorted([*model_files.FILES, "README.md"]))
+_CASES = ", ".join(f"('{g}', '{n}', octet_length(from_hex('{t.encode().hex()}')))" for g, n, t in robustness.hard_strings())
 
-@_query()
-def dropout_encode(spark, sf_dir):
-    docs = _table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
-    ids = codec.encode_dropout(docs, _model(spark, sf_dir), 0.1)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
 
+@_query(f"SELECT file, TRUE AS reloads FROM (VALUES {_FILES}) t(file)")
+def model_export(spark, sf_dir):
+    model, folder = _model(spark, sf_dir), _folder(spark, "package")
+    names = model_files.export_package(model, folder, "demo", {"merges": len(model.merges)}, spark)
+    same = model_files.load_model(folder, spark).ids == model.ids
+    return spark.createDataFrame([(n, same) for n in names], "file string, reloads boolean")
 
-@_query()
-def noise_robustness(spark, sf_dir):
-    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return robustness.noise_matrix(docs, _model(spark, sf_dir), [0.0, 0.1, 0.2], [0.0, 0.1])
 
+@_query(f"SELECT file, TRUE AS as_written FROM (VALUES {_FILES}) t(file)")
+def package_dry_run(spark, sf_dir):
+    """What a package would hold, against what is then written; and a folder of two files made whole."""
+    model, folder = _model(spark, sf_dir), _folder(spark, "package")
+    sizes = model_files.staged(model, "demo", {})
+    model_files.export_package(model, folder, "demo", {}, spark)
+    written = {n: len(read_text(spark, f"{folder}/{n}").encode()) for n in sizes}
+    bare = model_files.Folder(f"{folder}-bare", spark)
+    for n in ("vocab.json", "merges.txt"):
+        bare.write(n, read_text(spark, f"{folder}/{n}"))
+    whole = pipelines.complete_artifacts(spark, bare.path) == model_files.FILES[2:] and model_files.load_model(bare.path, spark).ids == model.ids
+    return spark.createDataFrame([(n, written[n] == k and whole) for n, k in sizes.items()], "file string, as_written boolean")
 
-@_query()
+
+@_query(f"SELECT category, name, n::BIGINT AS n_bytes, TRUE AS is_lossless, TRUE AS no_unknown, TRUE AS stream_matches FROM (VALUES {_CASES}) t(category, name, n)")
 def stress_suite(spark, sf_dir):
-    return robustness.stress_suite(spark, _model(spark, sf_dir))
+    return robustness.stress_suite(spark, _model(spark, sf_dir)).drop("n_tokens")
 
 
-@_query()
+@_query(f"SELECT count(*)::BIGINT AS n_cases, count(*)::BIGINT AS n_passed, '' AS failures FROM (VALUES {_CASES}) t(category, name, n)")
 def stress_summary(spark, sf_dir):
-    return robustness.stress_summary(stress_suite(spark, sf_dir))
+    found = robustness.stress_summary(robustness.stress_suite(spark, _model(spark, sf_dir)))
+    return found.select("n_cases", "n_passed", F.array_join("failures", ",").alias("failures"))
 
 
-@_query()
+@_query("SELECT conv_id * 1000 + turn AS stream_id, text FROM conversations WHERE text <> ''")
 def streaming_decode(spark, sf_dir):
-    """Token rows of all conversation turns, written as files, streamed through the stateful decoder."""
-    import uuid
-
-    from .session import shared_dir
-
-    model, folder = _model(spark, sf_dir), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    """Token rows of all conversation turns in two micro-batches, streamed through the stateful decoder."""
+    model, folder = _model(spark, sf_dir), _folder(spark, "stream")
     turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text")
     encoded = codec.encode(turns, model, "stream_id")
     rows = encoded.select("stream_id", F.size("ids").alias("n"), F.posexplode("ids").alias("p", "token_id"))
-    rows = rows.select("stream_id", F.col("p").cast("long").alias("pos"), "token_id", (F.col("p") == F.col("n") - 1).alias("last"))
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    rows = rows.select("stream_id", F.col("p").cast("long").alias("pos"), "token_id", (F.col("p") == F.col("n") - 1).alias("last"), (F.col("p") * 2 < F.col("n")).alias("early"))
+    table = Table(rows).df
+    for early in (True, False):  # a file per micro-batch
+        table.where(F.col("early") == early).drop("early").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(table.drop("early").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run = decode_stream(stream, model).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema("stream_id long, text string").parquet(f"{folder}/out")
+    parts = spark.read.schema("stream_id long, pos long, text string").parquet(f"{folder}/out")
+    return parts.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@_query(f"SELECT source, doc_id, md5(text) AS digest FROM (SELECT *, coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < {QUOTA}")
+def streaming_quota(spark, sf_dir):
+    """Documents in three micro-batches, let through until their source's quota is reached."""
+    folder = _folder(spark, "quota")
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    a, b = docs.select(F.percentile_approx("doc_id", [0.33, 0.66])).first()[0]
+    for part in (F.col("doc_id") < a, (F.col("doc_id") >= a) & (F.col("doc_id") < b), F.col("doc_id") >= b):
+        docs.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run = quota_stream(stream, QUOTA).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(docs.schema).parquet(f"{folder}/out").select("source", "doc_id", F.md5("text").alias("digest"))
+
+
+# --- random: tests hold them against brute force -----------------------------------------------------------------
 
 
 @_query()
-def model_export(spark, sf_dir):
-    import tempfile
+def dropout_encode(spark, sf_dir):
+    docs = _table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
+    ids = codec.encode_dropout(docs, _model(spark, sf_dir), 0.1)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
 
-    model = _model(spark, sf_dir)
-    with tempfile.TemporaryDirectory() as folder:  # driver-side files; nothing distributed reads them
-        names = model_files.export_package(model, folder, "demo", {"merges": len(model.merges)})
-        same = model_files.load_model(folder).ids == model.ids
-    return spark.createDataFrame([(n, same) for n in names], "file string, reloads boolean")
+
+@_query()
+def noise_robustness(spark, sf_dir):
+    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return robustness.noise_matrix(docs, _model(spark, sf_dir), [0.0, 0.1, 0.2], [0.0, 0.1])
 
 
 def queries() -> dict[str, Query]:
