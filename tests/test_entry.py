@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SMALL
 
-QUICK = ["clean_documents", "eval_train_split", "heldout_prefix", "pretok_single", "word_frequencies", "byte_symbols", "pair_frequencies", "encode_tokens", "sliding_windows", "domain_benchmark", "leaderboard"]
+QUICK = ["seeded_shuffle", "config_split", "mix_shares", "corpus_writer", "text_scan", "block_digests", "specials_present", "decode_roundtrip", "token_inspection", "domain_slices", "vocab_sweep", "leaderboard_rebuild", "runs_with_results", "stress_suite", "streaming_decode", "special_token_guard", "clean_documents", "eval_train_split", "heldout_prefix", "pretok_single", "word_frequencies", "byte_symbols", "pair_frequencies", "encode_tokens", "sliding_windows", "domain_benchmark", "leaderboard"]
 
 
 def test_every_sql_has_a_query():

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import codec, vocabulary as V
+from corpusmill.plans import pipelines
 from corpusmill.sources import model_files
 
 WORDS = {"the": 50, "this": 30, "that": 20, "when": 10}
@@ -52,6 +53,56 @@ def test_heap_equals_recount_on_random_words():
         assert V.learn(counts, 15, 1) == naive(counts, 15, 1)
 
 
+def test_steps_take_the_merges_of_a_recount(spark):
+    """Several merges from one count of pairs are those that one recount after each merge gives."""
+    rng = random.Random(17)
+    for look in (2, 5, 2048):
+        counts = {"".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))): rng.randint(1, 9) for _ in range(40)}
+        words = spark.createDataFrame(list(counts.items()), "word string, n long").coalesce(2)
+        want = naive({tuple(w): n for w, n in counts.items()}, 14, 2)
+        assert V.merge_steps(words, 14, look=look) == want == V.train(words, 270, specials=[])
+        assert V.train(words, 270, specials=[], driver_bytes=0) == want
+
+
+def test_long_words_merge_like_short_ones():
+    rng = random.Random(23)
+    for _ in range(60):
+        merges, parts = [], list("abc")
+        for _ in range(12):  # in any order, also merges whose parts come later
+            merges.append((rng.choice(parts), rng.choice(parts), 1))
+            parts.append(merges[-1][0] + merges[-1][1])
+        rng.shuffle(merges)
+        model = codec.Model(merges)
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(2, 60)))
+        plain = model.encode_word(word) if len(word) <= codec.SHORT else None
+        heap = model._merge_long([model.first[b] for b in word.encode()])
+        assert heap == model.encode_word(word, 1e-300, random.Random(1)) and plain in (None, heap)
+
+
+def test_large_vocabulary_equals_the_library(spark, tmp_path):
+    """1,200 merges learned from the small corpus: ids are the tokenizers library's, and a recount agrees on the first."""
+    from tokenizers import Tokenizer
+
+    from corpusmill.operators import metrics
+    from tests.conftest import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").withColumn("clean", F.col("text"))
+    words = V.word_counts(docs)
+    big = codec.Model(V.train(words, 1461))
+    letters = big.letters
+    counts = {tuple(letters[b] for b in r["word"].encode()): r["n"] for r in words.collect() if len(r["word"].encode()) > 1}
+    assert len(big.merges) == 1200 and big.merges[:25] == naive(counts, 25, 2)
+    model_files.save_model(big, str(tmp_path / "m"))
+    library = Tokenizer.from_file(str(tmp_path / "m" / "tokenizer.json"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["ids"] for r in codec.encode(docs, big).collect()}
+    assert got == {i: library.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    rows = codec.measure(docs, big, ["lang"])
+    assert rows.where("not is_lossless").isEmpty() and rows.agg({"n_tokens": "sum"}).first()[0] == sum(map(len, got.values()))
+    report = {r["lang"]: r for r in metrics.domain_report(rows, ["lang"], len(big.ids), "all").collect()}
+    assert report["all"]["n_used"] == len({x for ids in got.values() for x in ids}) and report["all"]["n_docs"] == len(texts)
+
+
 @pytest.fixture(scope="module")
 def model():
     text = "the cat sat on the mat that the other cat thought of 12 34"
@@ -78,6 +129,33 @@ def test_unknown_id_raises(spark, model):
     bad = spark.createDataFrame([(1, [99999])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="unknown token id"):
         codec.tokens_of(bad, vocab).collect()
+    for i in (-2, -1, len(model.ids), 99999):
+        with pytest.raises(Exception, match="unknown token id"):
+            codec.decode(spark.createDataFrame([(1, [3, i])], "doc_id long, ids array<int>"), model).collect()
+        with pytest.raises(ValueError, match="unknown token id"):
+            model.decode([i])
+
+
+def test_tokenize_and_broken_bytes(spark, model):
+    docs = spark.createDataFrame([(1, "the cat"), (2, ""), (3, "é")], "doc_id long, text string")
+    got = {r["doc_id"]: r["tokens"] for r in codec.tokenize(docs, model).collect()}
+    assert got == {1: model.bpe("the") + model.bpe(" cat"), 2: [], 3: model.bpe("é")}
+    half = model.ids[model.letters[0xC3]]
+    odd = spark.createDataFrame([(1, [half, model.ids["<|pad|>"], half])], "doc_id long, ids array<int>")
+    assert codec.decode(odd, model).first()["text"] == "\ufffd<|pad|>\ufffd" == model.decode([half, model.ids["<|pad|>"], half])
+
+
+def test_guard_raises_where_it_says(spark, model):
+    docs = spark.createDataFrame([(1, "a<|pad|>"), (2, "a<|pad"), (3, "<|eos|>")], "doc_id long, text string")
+    held = {r["doc_id"]: r["b"] for r in docs.select("doc_id", codec.holds_banned(F.col("text"), model.specials, {"<|eos|>"}).alias("b")).collect()}
+    assert held == {1: True, 2: False, 3: False}
+    for i, bad in held.items():
+        one = codec.encode(docs.where(F.col("doc_id") == i), model, allowed={"<|eos|>"})
+        if bad:
+            with pytest.raises(Exception, match="not allowed"):
+                one.collect()
+        else:
+            assert model.decode(one.first()["ids"]) == docs.where(F.col("doc_id") == i).first()["text"]
 
 
 def test_dropout_is_seeded_and_lossless(spark, model):
@@ -85,6 +163,9 @@ def test_dropout_is_seeded_and_lossless(spark, model):
     one, two = (codec.encode_dropout(docs, model, 0.5).orderBy("doc_id").collect() for _ in range(2))
     assert one == two and len({tuple(r["ids"]) for r in one}) > 1
     assert all(model.decode(r["ids"]) == "the cat thought of the mat" for r in one)
+    assert codec.encode_dropout(docs, model, 0.0).orderBy("doc_id").collect() == codec.encode(docs, model).orderBy("doc_id").collect()
+    whole = [model.first[b] for b in b"the"]
+    assert codec.encode_dropout(docs, model, 1.0).first()["ids"][:3] == whole
 
 
 def test_model_files(tmp_path, model):
@@ -98,6 +179,26 @@ def test_model_files(tmp_path, model):
     assert library.encode(" the cat that", add_special_tokens=False).ids == [model.ids[t] for w in (" the", " cat", " that") for t in model.bpe(w)]
 
 
+def test_folders_of_other_layouts(tmp_path, model, spark):
+    """Ids of the folder's own vocabulary, special tokens without `all`, and bare folders of two files."""
+    model_files.save_model(model, str(tmp_path / "a"))
+    at = model_files.Folder(str(tmp_path / "b"), spark)
+    order = {t: len(model.ids) + 4 - i for t, i in model.ids.items()}  # other ids, with a gap below
+    at.dump("vocab.json", order)
+    at.write("merges.txt", model_files.Folder(str(tmp_path / "a")).read("merges.txt"))
+    at.dump("special_tokens_map.json", {"eos_token": "<|eos|>", "pad_token": {"content": "<|pad|>"}, "bos_token": "<|gone|>"})
+    other = model_files.load_model(at.path, spark)
+    assert other.ids == order and other.specials == ["<|eos|>", "<|pad|>"]
+    assert [other.tokens[i] for i in other.encode_word(" the")] == model.bpe(" the") and other.decode(other.encode_word("naïve")) == "naïve"
+    with pytest.raises(ValueError, match="unknown token id"):
+        other.decode([0])
+    assert pipelines.complete_artifacts(spark, at.path) == ["tokenizer.json", "tokenizer_config.json"] and pipelines.complete_artifacts(spark, at.path) == []
+    assert model_files.load_model(at.path).ids == order
+    with pytest.raises(FileNotFoundError):
+        model_files.load_model(str(tmp_path / "none"))
+    assert set(model_files.export_package(model, str(tmp_path / "dry"), "x", {}, dry_run=True)) == {*model_files.FILES, "README.md"} and not (tmp_path / "dry").exists()
+
+
 def test_prefix_is_smaller_training():
     counts = {tuple(w): n for w, n in WORDS.items()}
     big = codec.Model(V.learn(counts, 6, 1))
