@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Table, materialize, path_of, shared_dir
+
 #: Bytes that separate words: space and U+0009..U+000D; all other bytes belong to words.
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -22,35 +27,12 @@ NULL_ID = -(2**63)
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests), a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-class Table:
-    """A DataFrame written to the shared folder and read again: its lineage is cut, and a lost executor costs nothing."""
+__all__ = ["IS_WORD", "NULL_ID", "SEPARATORS", "Table", "connected_components", "delete", "materialize", "mix64", "partitions", "random_u64", "shared_dir", "slices", "tidy", "utf8", "word_hashes", "words_of"]
 
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/corpusmill-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        """Deletes the files; call it only when nothing lazy reads them any more."""
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        del jvm
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    return Table(df).df
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = path_of(spark, path)
+    fs.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -77,17 +59,34 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(texts: list[bytes | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array | list[bytes | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows holding about `limit` bytes at most; a longer text is a range of its own."""
+    lens = [len(t or b"") for t in texts] if isinstance(texts, list) else pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
+    for i, n in enumerate(lens):
         if size and size + n > limit:
             yield lo, i
             lo, size = i, 0
         size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(lens):
+        yield lo, len(lens)
+
+
+def tidy(run):
+    """A function of batches for mapInArrow that gives memory back to the system when its task ends: idle workers stay small."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
 
 
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,31 +106,30 @@ def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return buf, starts, ends, np.searchsorted(starts, offsets)
 
 
-_BYTE = random_u64(256, 11)
-_STEP = U64(0xD6E8FEB86659FD93)
-_POWERS = np.ones(1, dtype=U64)
+#: Bytes of a word that are hashed all at once; longer words are hashed one by one.
+SHORT = 16
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS)), _STEP, dtype=U64)
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=U64)
-    return _POWERS
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A keyed 64-bit hash of every word's bytes: other seeds give hashes that collide elsewhere.
 
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word's bytes, vectorised over the batch."""
+    Words of up to 16 bytes are two scattered 64-bit words (vectorised over the batch), longer ones XXH64.
+    """
     if not len(starts):
         return np.zeros(0, dtype=U64)
     lens = ends - starts
-    at = np.zeros(len(lens), dtype=np.int64)
-    np.cumsum(lens[:-1], out=at[1:])
-    inside = np.arange(int(lens.sum()), dtype=np.int64)
-    bytes_of_words = buf[inside + np.repeat(starts - at, lens)]
-    inside -= np.repeat(at, lens)
-    return mix64(np.add.reduceat(_BYTE[bytes_of_words] * _powers(int(lens.max()))[inside], at) + lens.astype(U64))
+    padded = np.concatenate([buf, np.zeros(SHORT, dtype=np.uint8)])
+    heads = np.lib.stride_tricks.sliding_window_view(padded, SHORT)[starts]
+    heads[np.arange(SHORT) >= lens[:, None]] = 0
+    halves, keys = heads.view("<u8"), random_u64(3, 11 + seed)
+    with np.errstate(over="ignore"):
+        out = mix64((mix64(halves[:, 0] + keys[0]) ^ halves[:, 1]) + keys[1])
+        out = mix64(out + lens.astype(U64) * U64(0x9E3779B97F4A7C15) + keys[2])
+    long = np.flatnonzero(lens > SHORT)
+    if len(long):
+        key = int(keys[0])
+        out[long] = [xxhash.xxh64_intdigest(buf[a:b], key) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def fingerprint_of(df: DataFrame) -> tuple[int, int]:

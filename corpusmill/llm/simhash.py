@@ -15,10 +15,8 @@ Two things keep that affordable, and neither loses a link:
   Only fingerprints travel, once to each bucket that holds variants of theirs; the bucket's task makes
   the variants itself.
 
-A distance of 4 bits means a shingle similarity of about 0.96. With `similarity` set, links between less
-similar texts are found as well, which balls cannot reach at a bearable size: at 0.8 two fingerprints
-differ in some 10 of 64 bits. These candidates come from bands of min-wise hashes, are screened with a
-longer sketch, and decided by exact Jaccard similarity of their whole sets of shingles (`similar_links`).
+A distance of 4 bits means a shingle similarity of about 0.96. With `similarity` set, the balls' pairs are
+candidates only: `similar` adds those of less similar texts, and decides each by its whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -32,16 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Table, connected_components, materialize, mix64, partitions, random_u64, utf8, word_hashes, words_of
+from . import similar
+from .common import U64, connected_components, materialize, partitions, random_u64, slices, tidy, utf8
 
 BITS = 64
 _PARITY = random_u64(24, 29)
-#: Min-wise hashes of a sketch; the first BANDS * ROWS of them make the candidate keys.
-HASHES, BANDS, ROWS = 512, 16, 4
-#: Texts of a block: a bucket's blocks are compared two at a time.
-BLOCK = 256
-_FACTORS = random_u64(HASHES, 31).astype(np.uint32) | np.uint32(1)
-_SHIFTS = random_u64(HASHES, 37).astype(np.uint32)
 
 
 def simhash(text: bytes | None, words: int = 4) -> int:
@@ -67,243 +60,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            fps = np.array([simhash(t, words) for t in utf8(batch.column(1))], dtype=U64).view(np.int64)
+            texts = batch.column(1)
+            fps = np.array([simhash(t, words) for lo, hi in slices(texts) for t in utf8(texts.slice(lo, hi - lo))], dtype=U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
-
-
-def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """The distinct 64-bit hashes of the word shingles, sorted; a shorter text is one shingle, none without words."""
-    buf, starts, ends, _ = words_of([(text or b"").lower()])
-    n = len(starts)
-    if not n:
-        return np.zeros(0, dtype=U64)
-    ids = word_hashes(buf, starts, ends)
-    count, size = max(1, n - words + 1), min(n, words)
-    with np.errstate(over="ignore"):
-        shingles = np.zeros(count, dtype=U64)
-        for j in range(size):
-            shingles = mix64(shingles * U64(0x9E3779B97F4A7C15) + ids[j : j + count])
-    return np.unique(shingles)
-
-
-def sketch(text: bytes | None, words: int = 5) -> tuple[bytes, np.ndarray, int]:
-    """(low bytes of HASHES min-wise hashes of the set of word shingles, BANDS candidate keys, a hash of the set). No words: empty, empty, 0."""
-    whole = shingle_set(text, words)
-    if not len(whole):
-        return b"", np.zeros(0, dtype=np.int64), 0
-    with np.errstate(over="ignore"):
-        shingles = np.unique((whole >> U64(32)).astype(np.uint32))
-        least = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-        for at in range(0, len(shingles), 1 << 10):
-            part = shingles[at : at + (1 << 10), None] * _FACTORS + _SHIFTS
-            np.minimum(least, (part ^ (part >> np.uint32(15))).min(axis=0), out=least)
-        keys = random_u64(BANDS, 41)
-        for j in range(ROWS):
-            keys = mix64(keys * U64(0x9E3779B97F4A7C15) + least[j * BANDS : (j + 1) * BANDS].astype(U64))
-    return least.astype(np.uint8).tobytes(), keys.view(np.int64), xxhash.xxh64_intdigest(whole.tobytes()) - (1 << 63)
-
-
-def _texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(*more, text.alias("text"), F.xxhash64(text).alias("th"))
-
-
-def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, th, fp, sketch, keys, tid) in one pass over the texts; th is a hash of the text, tid one of its set of shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = utf8(part.column(1))
-                fps = np.array([simhash(t, words) for t in texts], dtype=U64).view(np.int64)
-                made = [sketch(t, words) for t in texts]
-                columns = [part.column(0), part.column(2), pa.array(fps), pa.array([b for b, _, _ in made], pa.binary()), pa.array([k for _, k, _ in made], pa.list_(pa.int64())), pa.array([t for *_, t in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp", "sketch", "keys", "tid"])
-
-    source = _texts(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
-    return source.mapInArrow(run, "doc_id long, th long, fp long, sketch binary, keys array<long>, tid long")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(tid, shingles) of the texts `wanted` (th, tid): their whole sets."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in utf8(part.column(1))], pa.binary())], names=["tid", "shingles"])
-
-    once = _texts(docs, text_col).groupBy("th").agg(F.min("text").alias("text"))  # copies go before the shuffle
-    return once.join(wanted, "th").select("tid", "text").mapInArrow(run, "tid long, shingles binary")
-
-
-def _whole_cells(batches, names: list[str]):
-    """The rows of sorted batches as tables that part no cell (first column)."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch.select(names)])
-        table = table if held is None else pa.concat_tables([held, table])
-        cell = table.column(0).to_numpy()
-        cut = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
-        held = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut)
-    if held is not None:
-        yield held
-
-
-def _by_cell(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
-
-
-def _least_agreement(similarity: float) -> float:
-    """Hashes that two sketches must share to be a candidate pair: five standard errors below `similarity`."""
-    return HASHES * similarity - 5 * (HASHES * similarity * (1 - similarity)) ** 0.5
-
-
-def _screened(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst, a, b) whose sketches do not rule out `similarity`."""
-    least = _least_agreement(similarity)
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (4, 5))
-            yield batch.select(["src", "dst", "a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-    one = own.select(F.col("tid").alias("src"), F.col("sketch").alias("x"))
-    two = own.select(F.col("tid").alias("dst"), F.col("sketch").alias("y"))
-    return pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b", "x", "y").mapInArrow(run, "src long, dst long, a long, b long")
-
-
-def _compared(rows: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (src, dst, a, b) among all pairs of a bucket that are in different components a and b.
-
-    A bucket is cut into blocks of about BLOCK texts, and each pair of blocks is a cell of its own, so a hot
-    bucket is spread over many tasks.
-    """
-    least = _least_agreement(similarity)
-    names = ["cell", "block", "diagonal", "tid", "component", "sketch"]
-
-    def run(batches):
-        for table in _whole_cells(batches, names):
-            cell, block, diagonal, tid, component = (table.column(k).to_numpy() for k in names[:5])
-            prints = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
-            at, step = np.arange(len(cell)), 1
-            while len(at := at[at + step < len(cell)]) and len(at := at[cell[at] == cell[at + step]]):
-                to = at + step
-                i = at[(component[at] != component[to]) & (diagonal[at] | (block[at] != block[to]))]
-                for lo in range(0, len(i), 1 << 13):
-                    k = i[lo : lo + (1 << 13)]
-                    k = k[(prints[k] == prints[k + step]).sum(axis=1) >= least]
-                    if len(k):
-                        swap = tid[k] > tid[k + step]
-                        x, y = np.where(swap, k + step, k), np.where(swap, k, k + step)
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (tid[x], tid[y], component[x], component[y])], names=["src", "dst", "a", "b"])
-                step += 1
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("tid", "key"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(own.select("tid", "sketch"), "tid").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.xxhash64("key", F.least("block", "to"), F.greatest("block", "to"))
-    cells = dealt.select(cell.alias("cell"), "block", (F.col("block") == F.col("to")).alias("diagonal"), "tid", "component", "sketch")
-    return _by_cell(cells).mapInArrow(run, "src long, dst long, a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) that connect the components a and b of the pairs (src, dst, a, b) whose whole sets are similar enough.
-
-    Texts are dealt to groups, and the pairs between two groups are a cell: a text's set travels once to each
-    cell that asks for it, however many pairs it is in. A task skips pairs that its links connect already.
-    """
-    n = pairs.select(F.col("src").alias("tid")).union(pairs.select("dst")).distinct().count()
-    groups = max(1, ceil(n / BLOCK))
-    names = ["cell", "src", "dst", "a", "b", "shingles"]
-
-    def run(batches):
-        above = {}
-
-        def find(x):
-            while (up := above.get(x, x)) != x:
-                above[x] = above.get(up, up)
-                x = up
-            return x
-
-        for table in _whole_cells(batches, names):
-            cell, src, dst, a, b, shingles = (table.column(k).to_pylist() for k in names)
-            whole = {(c, x): np.frombuffer(s, dtype=U64) for c, x, s in zip(cell, src, shingles, strict=True) if s is not None}
-            out = []
-            for c, x, y, p, q in zip(cell, src, dst, a, b, strict=True):
-                if y is None or (p := find(p)) == (q := find(q)):
-                    continue
-                one, two = whole[c, x], whole[c, y]
-                if min(len(one), len(two)) / max(len(one), len(two)) >= similarity:
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    if both / (len(one) + len(two) - both) >= similarity:
-                        above[max(p, q)] = min(p, q)
-                        out.append((p, q))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
-
-    group = lambda c: F.pmod(F.xxhash64(c, F.lit(47)), F.lit(groups))
-    asked = pairs.withColumn("cell", group("src") * groups + group("dst"))
-    need = asked.select("cell", F.col("src").alias("tid")).unionByName(asked.select("cell", F.col("dst").alias("tid"))).distinct().join(sets, "tid")
-    none = F.lit(None)
-    rows = asked.select("cell", "src", "dst", "a", "b", none.cast("binary").alias("shingles"))
-    rows = rows.unionByName(need.select("cell", F.col("tid").alias("src"), *[none.cast("long").alias(c) for c in ("dst", "a", "b")], "shingles"))
-    return _by_cell(rows).mapInArrow(run, "src long, dst long").distinct()
-
-
-def _relabelled(placed: DataFrame, new: DataFrame) -> DataFrame:
-    groups = connected_components(new).withColumnRenamed("component", "root")
-    return placed.join(groups, placed.component == groups.node, "left").select("key", "tid", F.coalesce("root", "component").alias("component"))
-
-
-def similar_links(prints: DataFrame, docs: DataFrame, links: DataFrame, similarity: float, text_col: str = "text", words: int = 5, pairs_per_row: int = 32) -> DataFrame:
-    """`links` (src, dst) and further ones between fingerprints whose texts are similar; enough to connect them.
-
-    prints: rows of `_sketched`. A bucket is all texts with a key in common; every two of its texts that are
-    in different components are compared. Where these pairs are many (over `pairs_per_row` a row), rounds go
-    first that compare each text with one centre of its bucket, and connect what they find; they end when
-    few pairs are left or a round finds nothing. What is left is then compared pair by pair (`_compared`).
-    Candidates are screened by their sketches and decided by their whole sets of shingles.
-    """
-    spark = prints.sparkSession
-    some = prints.where("length(sketch) > 0")
-    named = some.select("tid", "fp").distinct()
-    low = named.groupBy("tid").agg(F.min("fp").alias("low"))
-    every = materialize(links.unionByName(named.join(low, "tid").where("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst"))))
-    groups = connected_components(every)
-    own = materialize(some.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("th").alias("th"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")))
-    placed = own.join(groups, own.fp == groups.node, "left").select("tid", F.explode("keys").alias("key"), F.coalesce("component", "fp").alias("component"))
-    placed, sets, turn, found = Table(placed), None, 0, True
-    while True:
-        counts = placed.df.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        rows = Table(placed.df.join(counts.where("within < size * size"), "key"))  # a bucket of one component never opens again
-        placed.drop()
-        if sets is None:
-            own = materialize(own.join(rows.df.select("tid").distinct(), "tid", "left_semi").select("tid", "th", "sketch"))
-            sets = materialize(_sets(docs, own.select("th", "tid"), text_col, words))
-        n, left = rows.df.agg(F.count(F.lit(1)), F.sum((F.col("size") - F.col("within") / F.col("size")) / 2)).first()
-        if not n or not found or left <= pairs_per_row * n:
-            break
-        centre = F.min_by(F.struct("tid", "component"), F.struct(F.xxhash64("tid", F.lit(turn)), "tid"))
-        centres = rows.df.groupBy("key").agg(centre.alias("centre")).select("key", F.col("centre.tid").alias("dst"), F.col("centre.component").alias("b"))
-        pairs = rows.df.join(centres, "key").where("component <> b").select(F.col("tid").alias("src"), "dst", F.col("component").alias("a"), "b").distinct()
-        new = materialize(_verified(materialize(_screened(pairs, own, similarity)), sets, similarity))
-        found, turn = bool(new.take(1)), turn + 1
-        placed = Table(_relabelled(rows.df, new) if found else rows.df.select("key", "tid", "component"))
-        every = every.unionByName(new)
-        rows.drop()
-        spark._jvm.System.gc()  # a round's shuffle files go when the driver forgets its plans
-    if not n:
-        return every
-    rest = materialize(_compared(rows.df, own, similarity))
-    return every.unionByName(materialize(_verified(rest, sets, similarity)))
+    return source.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def ball(bits: list[int], radius: int) -> np.ndarray:
@@ -372,7 +134,7 @@ def _deal(fps: DataFrame, views: list[View]) -> DataFrame:
                     rows = list(view.deal(whole[lo : lo + step]))
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.array([b for b, _ in rows], pa.int64()), pa.array([p.tobytes() for _, p in rows], pa.binary())], names=["view", "bucket", "fps"])
 
-    return fps.select("fp").mapInArrow(run, "view int, bucket long, fps binary")
+    return fps.select("fp").mapInArrow(tidy(run), "view int, bucket long, fps binary")
 
 
 def _met(table: pa.Table, views: list[View]) -> tuple[np.ndarray, np.ndarray]:
@@ -412,10 +174,8 @@ def ball_links(fps: DataFrame, n: int, radius: int) -> DataFrame:
     return _deal(fps, views).groupBy("view", "bucket").applyInArrow(run, "src long, dst long")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 4, screen: bool = True, similarity: float | None = None, docs: DataFrame | None = None, text_col: str = "text", words: int = 5) -> DataFrame:
-    """(fp, root) for each distinct fp of `fps`: the representative of its connected group.
-
-    With `similarity`, `fps` are rows of `_sketched` from the texts of `docs`.
+def fingerprint_links(fps: DataFrame, radius: int = 4, screen: bool = True) -> DataFrame:
+    """Links (src, dst) that connect exactly the fingerprints of `fps` (fp: long, distinct) within `radius` of each other.
 
     With an odd radius the half ball rounds up, so a bucket's star may miss exact verification; use an
     even radius (4 by default).
@@ -423,35 +183,52 @@ def link_fingerprints(fps: DataFrame, radius: int = 4, screen: bool = True, simi
     if radius % 2:
         raise ValueError("radius must be even")
     spark = fps.sparkSession
-    own = materialize(fps.select("fp").distinct())
-    some, n = own, own.count()
+    some, n = fps, fps.count()
     if screen:
-        some = materialize(screened(own.repartition(partitions(spark), "fp"), n, radius))
+        some = materialize(screened(fps.repartition(partitions(spark), "fp"), n, radius))
         n = some.count()
-    links = ball_links(some.repartition(partitions(spark), "fp"), n, radius)
-    if similarity is not None:
-        links = similar_links(fps, docs, links, similarity, text_col, words)
-    groups = connected_components(links)
-    return own.join(groups, own.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    return ball_links(some.repartition(partitions(spark), "fp"), n, radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, screen: bool = True, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id reachable over links, itself included).
 
-    With `similarity`, texts whose sets of shingles have that Jaccard similarity or more link too, whatever
-    their fingerprints' distance. Each such link is decided exactly. Candidates share one of 16 bands of 4
-    min-wise hashes, which two texts of similarity 0.8 do with probability 0.9998.
+    Fingerprints link at `radius` or fewer differing bits. With `similarity`, texts link if their sets of
+    shingles have that Jaccard similarity or more, which is decided exactly; candidates are the texts whose
+    fingerprints are within the radius, and those that share one of 36 bands of 7 min-wise hashes (two
+    texts of similarity 0.8 do with probability 0.9998).
 
     Texts are lower-cased in A-Z only and cut at ASCII white space; shingles of `words` words, a shorter
-    text is one shingle. Null, empty and blank texts have fingerprint 0 and link like any other. Equal
-    texts share a fingerprint, so groups of copies of any size cost one fingerprint. Rows with null ids
-    are kept; they name no component unless all of its ids are null. Other columns are ignored. An empty
-    table gives an empty result.
+    text is one shingle. Null, empty and blank texts have fingerprint 0 (and the empty set) and link like
+    any other. Equal texts share a fingerprint, so groups of copies of any size cost one fingerprint. Rows
+    with null ids are kept; they name no component unless all of its ids are null. Rows that share an id
+    are documents of their own. Other columns are ignored. An empty table gives an empty result. With
+    `similarity`, group (a name of the component even if ids repeat) and text_hash are added.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words) if similarity is None else _sketched(docs, id_col, text_col, words))
-    roots = link_fingerprints(prints, radius, screen, similarity, docs, text_col, words)
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    known = materialize(firsts.join(roots, "fp"))
+    if similarity is None:
+        name, more, prints = "fp", [], materialize(fingerprints(docs, id_col, text_col, words))
+        own = materialize(prints.select("fp").distinct())
+        links = fingerprint_links(own, radius, screen)
+    else:
+        name, more, prints = "tid", [F.col("root").alias("group"), F.col("th").alias("text_hash")], materialize(similar.prints(docs, simhash, id_col, text_col, words))
+        own = similar.distinct_sets(prints)
+        links = similar.links(own, docs, fingerprint_links(materialize(own.select("fp").distinct()), radius, screen), similarity, text_col, words)
+    groups = connected_components(links)
+    firsts = prints.groupBy(name).agg(F.min("doc_id").alias("low"))
+    known = materialize(firsts.join(groups, firsts[name] == groups.node, "left").select(name, "low", F.coalesce("component", name).alias("root")))
     names = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = known.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = known.join(names, "root").select(name, "root", "component_id")
+    return prints.join(named, name).select("doc_id", "fp", "component_id", *more)
+
+
+def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without all but one of each group that `near_duplicates` with `similarity` has `found`.
+
+    The row of the smallest id stays, of those that share it the one of the smallest hash of its text, and
+    one of equal rows; null ids come last. All columns pass through but names that start with near_.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("near_none"), F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_text"))
+    first = found.groupBy("group").agg(F.min(place).alias("first")).select("first.*").drop("near_none")
+    keyed = docs.withColumn("near_doc", F.col(id_col).cast("long")).withColumn("near_hash", F.xxhash64(F.col(text_col).cast("string")))
+    kept = keyed.join(first, F.col("near_doc").eqNullSafe(F.col("near_id")) & F.col("near_hash").eqNullSafe(F.col("near_text")), "left_semi")
+    return kept.dropDuplicates(["near_doc", "near_hash"]).select(*docs.columns)
