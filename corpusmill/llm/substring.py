@@ -20,54 +20,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, mix64, slices, utf8, word_hashes, words_of
+from .common import NULL_ID, U64, materialize, mix64, partitions, slices, tidy, utf8, word_hashes, words_of
 
 #: Rows of the sketch; cells of a range, the unit in which sketches are merged.
 DEPTH, RANGE_BITS = 2, 20
 #: Windows gathered in a task before it hands them on.
 FLUSH = 1 << 22
-_A, _B = U64(0x9E3779B97F4A7C15 | 1), U64(0xC2B2AE3D27D4EB4F)
+_A = U64(0x9E3779B97F4A7C15 | 1)
 #: A span of windows is one long: its start, and below in so many bits its length (longer ones are cut up).
 SPAN = 24
 #: Marks, in the second hash, spans that were settled inside a task.
 SETTLED = -1
 
 
-def _windows(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of each run of `width` word hashes, by doubling."""
+def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` word hashes: runs of doubling length, scattered at each joint like the nodes of a tree."""
     out, at = None, 0
-    power, length = hashes, 1
-    left = width
+    power, length, left = hashes, 1, width
     with np.errstate(over="ignore"):
         while left:
             if left & 1:
-                shifted = power[at:]
-                out = shifted.copy() if out is None else out[: len(shifted)] + _pow(base, at) * shifted
+                here = power[at:]
+                out = here if out is None else mix64(out[: len(here)] * _A + here)
                 at += length
             left >>= 1
             if left:
-                power = power[: len(power) - length] + _pow(base, length) * power[length:]
+                power = mix64(power[: len(power) - length] * _A + power[length:])
                 length *= 2
     return out
 
 
-def _pow(base: np.uint64, n: int) -> np.uint64:
-    return U64(pow(int(base), n, 1 << 64))
+def window_hashes(texts: list[bytes | None], width: int, both: bool = True):
+    """(row, start word, 64-bit hash, 31-bit hash) of every window of `width` words inside one row.
 
-
-def window_hashes(texts: list[bytes | None], width: int):
-    """(row, start word, 64-bit hash, 31-bit hash) of every window of `width` words inside one row."""
+    The two hashes start from word hashes of different keys, so what collides in one does not in the other:
+    95 independent bits. `both`: else the second hash is left out (None).
+    """
     buf, starts, ends, firsts = words_of(texts)
-    hashes = word_hashes(buf, starts, ends)
-    if len(hashes) < width:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int32))
     counts = np.diff(firsts)
-    inside = np.arange(len(hashes)) - np.repeat(firsts[:-1], counts)
-    whole = (inside + width <= np.repeat(counts, counts))[: len(hashes) - width + 1]
+    if len(starts) < width:
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int32))
+    inside = np.arange(len(starts)) - np.repeat(firsts[:-1], counts)
+    whole = (inside + width <= np.repeat(counts, counts))[: len(starts) - width + 1]
     keep = np.flatnonzero(whole)
     rows = np.repeat(np.arange(len(texts)), counts)[keep]
-    one = mix64(_windows(hashes, width, _A)[keep])
-    two = (mix64(_windows(hashes, width, _B)[keep] ^ _B) >> U64(33)).astype(np.int32)
+    one = _windows(word_hashes(buf, starts, ends), width)[keep]
+    two = (_windows(word_hashes(buf, starts, ends, 1), width)[keep] >> U64(33)).astype(np.int32) if both else None
     return rows, inside[keep], one, two
 
 
@@ -108,9 +106,9 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> DataFrame:
     def run(batches):
         kept, n = [], 0
         for batch in batches:
-            texts = utf8(batch.column(0))
+            texts = batch.column(0)
             for lo, hi in slices(texts, 2 << 20):
-                kept.append(window_hashes(texts[lo:hi], width)[2])
+                kept.append(window_hashes(utf8(texts.slice(lo, hi - lo)), width, False)[2])
                 n += len(kept[-1])
                 if n >= FLUSH:
                     yield from emit(kept)
@@ -118,7 +116,7 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> DataFrame:
         if n:
             yield from emit(kept)
 
-    return docs.select("text").mapInArrow(run, "row int, range int, seen binary, twice binary")
+    return docs.select("text").mapInArrow(tidy(run), "row int, range int, seen binary, twice binary")
 
 
 def _merge(sketches: DataFrame, bits: int) -> DataFrame:
@@ -188,9 +186,9 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
         kept, n = [], 0
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = utf8(batch.column(1))
+            texts = batch.column(1)
             for lo, hi in slices(texts, 2 << 20):
-                rows, pos, one, two = window_hashes(texts[lo:hi], width)
+                rows, pos, one, two = window_hashes(utf8(texts.slice(lo, hi - lo)), width)
                 at = _repeated(one, sketch, bits)
                 kept.append((ids[lo + rows[at]], pos[at], one[at], two[at]))
                 n += len(at)
@@ -200,16 +198,15 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
         if n:
             yield from emit(kept)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 int, doc_id long, span long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "h1 long, h2 int, doc_id long, span long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, max_sketch_bytes: int = 1 << 26) -> DataFrame:
+def repeated_spans(source: DataFrame, width: int = 20, max_sketch_bytes: int = 1 << 26) -> DataFrame:
     """(doc_id, spans): per document the ranges of windows whose words also start earlier, as start << SPAN | length.
 
-    Ids may not be null here: NULL_ID stands for null.
+    source: doc_id (long, one row each, or equal texts; NULL_ID stands for null) and text.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
+    spark = source.sparkSession
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cap = int(log2(max_sketch_bytes * 8 // DEPTH))
     bits = min(cap, max(16, ceil(log2(size / 3 + 1))))
@@ -230,33 +227,53 @@ def covered(n: int, starts, stops, width: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _numbered(source: DataFrame) -> DataFrame:
+    """Adds key, a long that follows (id, hash of the text) and is the same for rows that are equal in both.
+
+    Where no two texts share an id, the id itself is the key. Else the documents are numbered, at the price
+    of one shuffle of the texts.
+    """
+    th = F.xxhash64("text")
+    shared = source.groupBy("doc_id").agg(F.min(th).alias("low"), F.max(th).alias("high")).where("low <> high")
+    if shared.isEmpty():
+        return source.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    order = source.select("doc_id", th.alias("th")).distinct().repartitionByRange(partitions(source.sparkSession), "doc_id", "th").sortWithinPartitions("doc_id", "th")
+    numbers = materialize(order.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.monotonically_increasing_id().alias("key")))
+    return source.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (th == F.col("h"))).select("doc_id", "text", "key")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, max_sketch_bytes: int = 1 << 26) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (remaining words joined by a space), kept_sha256.
 
     A word goes if a window of `width` words that covers it has the same words as one that starts earlier
-    (smaller id, or same id and earlier start), judged on the input. Null and blank texts have no words;
-    texts shorter than the window lose none. Null ids come first and count as one document. Rows with
-    equal id and equal text count as one document and get equal results; ids must otherwise be unique.
-    Other columns are ignored. An empty table gives an empty result.
+    (smaller id, or same document and earlier start), judged on the input. Null and blank texts have no
+    words; texts shorter than the window lose none. Null ids come first. Rows with equal id and equal text
+    count as one document and get equal results; rows that share an id (or have none) but not the text are
+    documents of their own, in the order of their texts' hashes. Other columns are ignored. An empty table
+    gives an empty result.
     """
-    found = repeated_spans(docs, id_col, text_col, width, max_sketch_bytes).withColumnRenamed("doc_id", "key")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = source.join(found, F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("key"), "left").select("doc_id", "text", "spans")
+    source = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    keyed = source.select(F.col("key").alias("doc_id"), "text")
+    found = repeated_spans(keyed, width, max_sketch_bytes).withColumnRenamed("doc_id", "known")
+    joined = source.join(found, F.col("key") == F.col("known"), "left").select("doc_id", "text", "spans")
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text, spans in zip(utf8(part.column(1)), part.column(2), strict=True):
+            words = (text or b"").split()
+            n = len(words)
+            if spans.is_valid and n:
+                at = spans.values.to_numpy(zero_copy_only=False)
+                gone = covered(n, at >> SPAN, (at >> SPAN) + (at & ((1 << SPAN) - 1)), width)
+                words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+            kept = b" ".join(words)
+            out.append((n, n - len(words), kept, hashlib.sha256(kept).hexdigest()))
+        n, gone, kept, digest = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     def run(batches):
         for batch in batches:
-            texts = utf8(batch.column(1))
-            out = []
-            for text, spans in zip(texts, batch.column(2), strict=True):
-                words = (text or b"").split()
-                n = len(words)
-                if spans.is_valid and n:
-                    at = spans.values.to_numpy(zero_copy_only=False)
-                    gone = covered(n, at >> SPAN, (at >> SPAN) + (at & ((1 << SPAN) - 1)), width)
-                    words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
-                kept = b" ".join(words)
-                out.append((n, n - len(words), kept, hashlib.sha256(kept).hexdigest()))
-            n, gone, kept, digest = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+            for lo, hi in slices(batch.column(1)):
+                yield cut(batch.slice(lo, hi - lo))
+
+    return joined.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
