@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, SEPARATORS, Table, materialize, partitions
 
 #: A document's key: the id, and a hash of the text for rows that share an id.
-DOC = ["d", "th"]
+DOC = ["line_dedup_id", "line_dedup_text"]
 
 
 def words_in(text):
@@ -32,7 +32,7 @@ def words_in(text):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64(text))
+    return docs.withColumn(DOC[0], F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(DOC[1], F.xxhash64(text))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -60,7 +60,7 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
-    """(d, th, gone): per document that loses lines, their places among all its lines, in no order."""
+    """(*DOC, gone): per document that loses lines, their places among all its lines, in no order."""
     lines = materialize(_lines(docs, id_col, text_col, min_words))
     suffixes = Table(_ranked(lines, ["h1", "h2"]).select(*DOC, "i", "r", "ahead", "back"))
     start = suffixes.df.where("ahead is not null").select(*DOC, F.col("i").alias("at"), F.col("ahead").alias("m"))
@@ -75,7 +75,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mine = runs.where((F.col("m") >= span) & (F.col("m") < 2 * span)).join(near, [*DOC, "at"]).withColumn("to", F.col("at") + F.col("m") - span)
         mine = mine.join(far, [*DOC, "to"]).select(*DOC, "at", "m", "a", "b")
         place = F.struct(*DOC, "at")
+        mine = materialize(mine)
         firsts = mine.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        firsts = materialize(firsts)  # not dealt like `mine`, so that adaptive execution can split a hot run's rows in the join
         found = materialize(mine.join(firsts, ["m", "a", "b"]).where(place > F.col("first")).select(*DOC, "at", "m"))
         later = found if later is None else later.unionByName(found)
         if 2 * span <= longest:
@@ -83,9 +85,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             suffixes = materialize(_ranked(pairs, ["a", "b"]).select(*DOC, "i", "r"))
         span *= 2
     if later is None:
-        return lines.where("false").groupBy(*DOC).agg(F.collect_list("k").alias("gone"))
+        return lines.where("false").groupBy(*DOC).agg(F.collect_list("k").alias("line_dedup_gone"))
     gone = later.select(*DOC, F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("i")).distinct()
-    return lines.select(*DOC, "i", "k").join(gone, [*DOC, "i"]).groupBy(*DOC).agg(F.collect_list("k").alias("gone"))
+    return lines.select(*DOC, "i", "k").join(gone, [*DOC, "i"]).groupBy(*DOC).agg(F.collect_list("k").alias("line_dedup_gone"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
@@ -95,15 +97,16 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     stay). If it has at least `min_words` words and the same lines also start earlier (smaller id, or same
     document, further up), its lines go. Lines are parted by U+000A and compared exactly. Null texts stay
     null with 0 lines; null ids come first. Rows of equal id and text count as one document and fare
-    alike; rows of equal id but other text are told apart. Further columns pass through, whatever their
-    names but for d, th, gone, n_lines and n_removed. An empty table gives an empty result.
+    alike; rows of equal id but other text are told apart. Further columns pass through, but for those that
+    the result adds (n_lines, n_removed) and names that start with line_dedup_. An empty table gives an
+    empty result.
     """
     gone = repeated_lines(docs, id_col, text_col, min_words)
     rows = _keyed(docs, id_col, text_col).join(gone, DOC, "left")
     every = F.split(F.col(text_col).cast("string"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("line_dedup_gone"))
     kept = F.array_join(F.transform(left, lambda k: F.get(every, k)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
+    text = F.when(F.col("line_dedup_gone").isNull(), F.col(text_col)).otherwise(kept)
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")
-    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return rows.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], count.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.when(F.col("line_dedup_gone").isNull(), 0).otherwise(F.size("line_dedup_gone")).cast("long")
+    return rows.select(*[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], count.alias("n_lines"), removed.alias("n_removed"))
