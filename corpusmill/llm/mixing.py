@@ -1,25 +1,31 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Targets are shared by weight and stop at `most` times the source's size (water filling). Blocks of
-`block_words` words are then awarded to sources by highest quotients target / (2 seats + 1), and a source's
-blocks to its shards in the same way. A shard's documents lie in seeded order; its blocks are laid over
-them and taken from the front, whole passes first. The driver holds one row per source and shard (shards
-are at most MAX_SHARDS a source), never one per document.
+`block_words` words are then awarded to sources by highest quotients target / (2 seats + 1), a source's
+blocks to groups of shards in the same way, and a group's blocks to its shards in a task. A shard's
+documents lie in seeded order; its blocks are laid over them and taken from the front, whole passes first.
+The number of shards grows with the source; the driver holds a row per source and group of GROUP shards.
 """
 
 from __future__ import annotations
 
+import heapq
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Table
 from .lines import words_in
 
-MAX_SHARDS = 4096
-#: Quotas are broadcast up to so many rows (a few MB), and joined by shuffle beyond.
+#: Shards of a group.
+GROUP = 1024
+#: Tables of sources and quotas are broadcast up to so many rows (a few MB), and joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: Columns that the result adds.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def water_fill(total: float, weights: list[float], caps: list[float]) -> list[float]:
@@ -45,12 +51,24 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     if not len(votes) or votes.sum() <= 0 or seats <= 0:
         return got
     got = np.floor(votes * (seats / votes.sum()) + 0.5).astype(np.int64)
-    while (spare := seats - int(got.sum())) > 0:
-        got[np.argmax(votes / (2 * got + 1))] += 1
-    while spare < 0:
-        quotients = np.where(got > 0, votes / np.maximum(2 * got - 1, 1), np.inf)
-        got[len(got) - 1 - np.argmin(quotients[::-1])] -= 1
-        spare += 1
+    spare = seats - int(got.sum())
+    if spare > 0:
+        heap = [(-v / (2 * g + 1), i) for i, (v, g) in enumerate(zip(votes.tolist(), got.tolist(), strict=True))]
+        heapq.heapify(heap)
+        for _ in range(spare):
+            i = heap[0][1]
+            got[i] += 1
+            heapq.heapreplace(heap, (-votes[i] / (2 * int(got[i]) + 1), i))
+    elif spare < 0:
+        heap = [(v / (2 * g - 1), -i) for i, (v, g) in enumerate(zip(votes.tolist(), got.tolist(), strict=True)) if g]
+        heapq.heapify(heap)
+        for _ in range(-spare):
+            i = -heap[0][1]
+            got[i] -= 1
+            if got[i]:
+                heapq.heapreplace(heap, (votes[i] / (2 * int(got[i]) - 1), -i))
+            else:
+                heapq.heappop(heap)
     return got
 
 
@@ -60,45 +78,58 @@ def cycle_weights(sources: list[str | None], cycle: tuple[float, ...] = (1, 2, 3
     return {s: cycle[i % len(cycle)] for i, s in enumerate(order)}
 
 
+def _apportioned(held: DataFrame, groups: DataFrame, block_words: int, most: int) -> DataFrame:
+    """(mix_source, mix_shard, mix_held, mix_quota): each group's seats dealt to its shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words = table.column("words").to_numpy()
+        order = np.argsort(table.column("mix_shard").to_numpy(), kind="stable")
+        quota = np.zeros(len(words), dtype=np.int64)
+        quota[order] = sainte_lague(words[order], table.column("seats")[0].as_py()) * block_words
+        return pa.table({"mix_source": table.column("mix_source"), "mix_shard": table.column("mix_shard"), "mix_held": words, "mix_quota": np.minimum(quota, most * words)})
+
+    return held.join(groups, ["mix_source", "mix_group"]).groupBy("mix_source", "mix_group").applyInArrow(run, "mix_source string, mix_shard long, mix_held long, mix_quota long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, most: int = 3, block_words: int = 100, shard_rows: int = 2_000, seed: int = 17) -> DataFrame:
     """The documents with size (words), source_size, target (the source's) and taken (words the mix takes).
 
     `weights` maps sources to weights (others: 0); by default they cycle 1, 2, 3. No document gives more
     than `most` times its words. Null and blank texts have size 0 and give nothing; the null source is a
     source; null ids and repeated rows are ordinary rows. Equal input gives equal output, whatever its
-    partitioning. Other columns pass through, but for size, source_size, target, taken and names that
-    start with mix_. An empty table gives an empty result.
+    partitioning. Columns named size, source_size, target or taken are replaced by the result's; others
+    pass through, but for names that start with mix_. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    source = F.col(source_col).cast("string")
-    sized = docs.withColumn("size", words_in(F.col(text_col).cast("string"))).withColumn("mix_source", F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
-    place = F.xxhash64(F.col(id_col), F.lit(seed))
-    rows = sized.groupBy("mix_source", F.pmod(place, F.lit(MAX_SHARDS)).alias("cell")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
-    cells: dict[str, np.ndarray] = {}
-    for r in rows:
-        cells.setdefault(r["mix_source"], np.zeros((MAX_SHARDS, 2), dtype=np.int64))[r["cell"]] = (r["words"], r["n"])
-    names = sorted(cells, key=lambda s: (s == "-", s))
+    kept = [c for c in docs.columns if c not in ADDED]
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    named = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("mix_source", F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
+    sized = named.withColumn("mix_size", words_in(text)).withColumn("mix_place", F.xxhash64(F.col(id_col), text, F.lit(seed))).withColumn("mix_order", F.xxhash64(F.col(id_col), text, F.lit(seed + 1)))
+    shards = {r["mix_source"]: max(1, ceil(r["n"] / shard_rows)) for r in named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per source
+    names = sorted(shards, key=lambda s: (s == "-", s))
+    small = lambda n: F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    per_source = small(len(names))(spark.createDataFrame(list(shards.items()), "mix_source string, mix_shards long"))
+    placed = sized.join(per_source, "mix_source").withColumn("mix_shard", F.pmod("mix_place", "mix_shards"))
+    held = Table(placed.groupBy("mix_source", "mix_shard").agg(F.sum("mix_size").alias("words")).withColumn("mix_group", F.expr(f"mix_shard div {GROUP}")))
+    totals: dict[str, list[tuple[int, int]]] = {s: [] for s in names}
+    for r in held.df.groupBy("mix_source", "mix_group").agg(F.sum("words").alias("words")).orderBy("mix_source", "mix_group").collect():  # a row per group of shards
+        totals[r["mix_source"]].append((r["mix_group"], r["words"]))
     plain = {s: None if s == "-" else s[1:] for s in names}
     by = weights if weights is not None else cycle_weights(list(plain.values()))
-    sizes = {s: int(cells[s][:, 0].sum()) for s in names}
+    sizes = {s: sum(w for _, w in totals[s]) for s in names}
     targets = dict(zip(names, water_fill(sum(sizes.values()), [float(by.get(plain[s], 0)) for s in names], [float(most * sizes[s]) for s in names]), strict=True))
     seats = dict(zip(names, sainte_lague(np.array([targets[s] for s in names]), round(sum(targets.values()) / block_words)).tolist(), strict=True))
-    quotas = []
-    for s in names:
-        shards = min(MAX_SHARDS, ceil(int(cells[s][:, 1].sum()) / shard_rows))
-        words = np.bincount(np.arange(MAX_SHARDS) % shards, weights=cells[s][:, 0], minlength=shards).astype(np.int64)
-        for shard, (blocks, held) in enumerate(zip(sainte_lague(words, seats[s]).tolist(), words.tolist(), strict=True)):
-            quotas.append((s, shards, shard, sizes[s], targets[s], held, min(blocks * block_words, most * held)))
-    table = spark.createDataFrame(quotas, "mix_source string, mix_shards int, mix_shard int, source_size long, target double, mix_held long, mix_quota long")
-    small = F.broadcast if len(quotas) <= BROADCAST_ROWS else lambda df: df
-    per_source = small(table.select("mix_source", "mix_shards").distinct())
-    placed = sized.join(per_source, "mix_source").withColumn("mix_shard", (F.pmod(place, F.lit(MAX_SHARDS)) % F.col("mix_shards")).cast("int"))
-    order = Window.partitionBy("mix_source", "mix_shard").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.col(id_col), F.col("size")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("mix_end", F.sum("size").over(order)).join(small(table.drop("mix_shards")), ["mix_source", "mix_shard"])
+    dealt = [(s, g, n) for s in names for (g, _), n in zip(totals[s], sainte_lague(np.array([w for _, w in totals[s]]), seats[s]).tolist(), strict=True)]
+    groups = small(len(dealt))(spark.createDataFrame(dealt, "mix_source string, mix_group long, seats long"))
+    about = small(len(names))(spark.createDataFrame([(s, sizes[s], targets[s]) for s in names], "mix_source string, source_size long, target double"))
+    quotas = small(sum(shards.values()))(Table(_apportioned(held.df, groups, block_words, most)).df)
+    held.drop()
+    order = Window.partitionBy("mix_source", "mix_shard").orderBy("mix_order", F.col(id_col), "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("mix_end", F.sum("mix_size").over(order)).join(quotas, ["mix_source", "mix_shard"]).join(about, "mix_source")
     passes = F.when(F.col("mix_held") > 0, F.expr("mix_quota div mix_held")).otherwise(F.lit(0))
-    rest = F.col("mix_quota") - passes * F.col("mix_held") - (F.col("mix_end") - F.col("size"))
-    taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rest = F.col("mix_quota") - passes * F.col("mix_held") - (F.col("mix_end") - F.col("mix_size"))
+    taken = passes * F.col("mix_size") + F.greatest(F.lit(0), F.least(rest, F.col("mix_size")))
+    return placed.select(*kept, F.col("mix_size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_rows(mixed: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
