@@ -2,9 +2,10 @@
 
 Candidates are dealt into shards by hash; each shard becomes a ball tree in one task. Query blocks meet
 the shards over an equi-join on the block number. A first pass over one shard gives each query a k-th
-score; every task starts from it, visits the leaves of its trees in order of the inner-product upper
-bound q.c + |q| r, stops when the bound falls below the current k-th score, and hands that score on from
-tree to tree. The bound is never under the true score, so the result is exact.
+score; every task starts from it and descends its trees from the root: at each node a query goes to the
+child of the higher inner-product upper bound q.c + |q| r first, and a subtree whose bound is below the
+query's current k-th score is cut. That score is handed on from node to node and from tree to tree. The
+bound is never under the true score, so the result is exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 NONE = np.iinfo(np.int64).max
-TREE = "shard long, dims int, ids binary, vectors binary, centers binary, radii binary, nodes binary"
+TREE = "shard long, dims int, kind string, ids binary, vectors binary, centers binary, radii binary, nodes binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -37,6 +38,13 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
+def _packed(values: np.ndarray) -> tuple[str, bytes]:
+    """(type, bytes) of integers in the fewest bytes each that hold them."""
+    kind = np.result_type(np.min_scalar_type(values.min(initial=0)), np.min_scalar_type(values.max(initial=0)), np.int8)
+    kind = np.dtype(kind if kind.kind == "i" else np.int64).newbyteorder("<")
+    return kind.str, values.astype(kind).tobytes()
+
+
 def build_tree(points: np.ndarray, leaf: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(order of points, centers, radii, nodes): nodes are (parent, start, stop, is leaf) in preorder."""
     order = np.arange(len(points))
@@ -80,12 +88,12 @@ class Best:
         self.ids = np.full((len(ids), k), NONE, dtype=np.int64)
         self.exact = np.zeros((len(ids), k), dtype=np.int64)
 
-    def kth(self) -> np.ndarray:
-        return np.maximum(self.floor, self.scores[:, -1])
+    def kth(self, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.maximum(self.floor[rows], self.scores[rows, -1])
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         other = ids[None, :] != self.own[rows][:, None]
-        worth = ((scores >= self.kth()[rows][:, None]) & other).any(axis=1)
+        worth = ((scores >= self.kth(rows)[:, None]) & other).any(axis=1)
         rows, scores, other = rows[worth], scores[worth], other[worth]
         if not len(rows):
             return
@@ -99,31 +107,39 @@ class Best:
 
 def search_tree(tree: dict, queries: np.ndarray, best: Best) -> None:
     """Branch and bound of a block of queries over one tree."""
-    ids, points, nodes = tree["ids"], tree["vectors"], tree["nodes"]
+    ids, points, nodes, centers, radii = (tree[k] for k in ("ids", "vectors", "nodes", "centers", "radii"))
     q = queries.astype(np.float64)
-    norms = np.linalg.norm(q, axis=1)
-    bounds = q @ tree["centers"].T + norms[:, None] * tree["radii"][None, :]
-    bounds += 1e-9 * (np.abs(bounds) + norms[:, None] * np.linalg.norm(tree["centers"], axis=1)[None, :]) + 1e-6
-    for n, (parent, *_rest) in enumerate(nodes):  # a child's bound is no higher than its parent's
-        if parent >= 0:
-            np.minimum(bounds[:, n], bounds[:, parent], out=bounds[:, n])
-    leaves = np.flatnonzero(nodes[:, 3])
-    bounds = bounds[:, leaves]
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    for step in range(len(leaves)):
-        here = order[:, step]
-        open_ = np.flatnonzero(bounds[np.arange(len(q)), here] >= best.kth())
-        if not len(open_):
-            break
-        for leaf in np.unique(here[open_]).tolist():
-            rows = open_[here[open_] == leaf]
-            _, lo, hi, _ = nodes[leaves[leaf]]
+    norms, spread = np.linalg.norm(q, axis=1), np.linalg.norm(centers, axis=1)
+    children: dict[int, list[int]] = {}
+    for n, parent in enumerate(nodes[:, 0].tolist()):
+        children.setdefault(parent, []).append(n)
+
+    def bound(rows: np.ndarray, node: int) -> np.ndarray:
+        high = q[rows] @ centers[node] + norms[rows] * radii[node]
+        return high + 1e-9 * (np.abs(high) + norms[rows] * spread[node]) + 1e-6  # more than rounding can take
+
+    def visit(node: int, rows: np.ndarray) -> None:
+        _, lo, hi, leaf = nodes[node]
+        if leaf:
             best.add(rows, ids[lo:hi], _products(queries[rows], points[lo:hi]))
+            return
+        pair = children[node]
+        high = np.stack([bound(rows, child) for child in pair])
+        ahead = high[0] >= high[1]
+        for mine, order in ((ahead, (0, 1)), (~ahead, (1, 0))):
+            for k in order:
+                open_ = rows[mine][high[k][mine] >= best.kth(rows[mine])]
+                if len(open_):
+                    visit(pair[k], open_)
+
+    rows = np.flatnonzero(bound(np.arange(len(q)), 0) >= best.kth())
+    if len(rows):
+        visit(0, rows)
 
 
 def _tree_of(row: dict) -> dict:
     ids, dims = np.frombuffer(row["ids"], np.int64), row["dims"]
-    return {"ids": ids, "vectors": np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dims), "centers": np.frombuffer(row["centers"], np.float64).reshape(-1, dims), "radii": np.frombuffer(row["radii"], np.float64), "nodes": np.frombuffer(row["nodes"], np.int64).reshape(-1, 4)}
+    return {"ids": ids, "vectors": np.frombuffer(row["vectors"], np.dtype(row["kind"])).astype(np.int64).reshape(len(ids), dims), "centers": np.frombuffer(row["centers"], np.float64).reshape(-1, dims), "radii": np.frombuffer(row["radii"], np.float64), "nodes": np.frombuffer(row["nodes"], np.int64).reshape(-1, 4)}
 
 
 def trees(candidates: DataFrame, dims: int, shards: int, leaf: int = 128) -> DataFrame:
@@ -132,8 +148,9 @@ def trees(candidates: DataFrame, dims: int, shards: int, leaf: int = 128) -> Dat
     def run(table: pa.Table) -> pa.Table:
         ids, points = table.column("vec_id").to_numpy(), _matrix(table.column("q"), dims)
         order, centers, radii, nodes = build_tree(points, leaf)
+        kind, vectors = _packed(points[order])
         blob = lambda a: pa.array([a.tobytes()], pa.binary())
-        return pa.table({"shard": table.column("shard").slice(0, 1), "dims": pa.array([dims], pa.int32()), "ids": blob(ids[order]), "vectors": blob(points[order]), "centers": blob(centers), "radii": blob(radii), "nodes": blob(nodes)})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "dims": pa.array([dims], pa.int32()), "kind": pa.array([kind]), "ids": blob(ids[order]), "vectors": pa.array([vectors], pa.binary()), "centers": blob(centers), "radii": blob(radii), "nodes": blob(nodes)})
 
     return candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard").applyInArrow(run, TREE)
 
@@ -143,11 +160,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: in
 
     Both inputs are (vec_id long, q array<long>), as from `quantised`. A candidate with the query's own id
     is left out; ties go to the smaller id; fewer than k candidates give all of them. Shorter vectors
-    count as padded with zeros; products beyond 64 bits saturate. Repeated query rows are answered once.
+    count as padded with zeros; products beyond 64 bits saturate. Repeated query rows are answered once;
+    repeated candidate rows are candidates each, and may fill a query's list. Other columns are ignored.
     Empty inputs give an empty result.
     """
     spark = candidates.sparkSession
-    candidates, queries = materialize(candidates), materialize(queries.distinct())
+    candidates, queries = materialize(candidates.select("vec_id", "q")), materialize(queries.select("vec_id", "q").distinct())
     n, dims = candidates.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
     m, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
     if not n or not m:
@@ -157,11 +175,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: in
 
     def pack(table: pa.Table) -> pa.Table:
         blob = lambda a: pa.array([a.tobytes()], pa.binary())
-        return pa.table({"block": table.column("block").slice(0, 1), "query_ids": blob(table.column("vec_id").to_numpy()), "queries": blob(_matrix(table.column("q"), dims))})
+        kind, packed = _packed(_matrix(table.column("q"), dims))
+        return pa.table({"block": table.column("block").slice(0, 1), "query_ids": blob(table.column("vec_id").to_numpy()), "query_kind": pa.array([kind]), "queries": pa.array([packed], pa.binary())})
 
     def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(row["query_ids"], np.int64)
-        return ids, np.frombuffer(row["queries"], np.int64).reshape(len(ids), dims)
+        return ids, np.frombuffer(row["queries"], np.dtype(row["query_kind"])).astype(np.int64).reshape(len(ids), dims)
 
     def pilot(batches):
         for batch in batches:
@@ -169,7 +188,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: in
                 ids, q = unpack(row)
                 best = Best(ids, k, np.full(len(ids), -np.inf))
                 search_tree(_tree_of(row), q, best)
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "query_ids": row["query_ids"], "queries": row["queries"], "floor": best.kth().tobytes()}], schema=pa.schema([("block", pa.int64()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("floor", pa.binary())]))
+                yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("block", "query_ids", "query_kind", "queries")} | {"floor": best.kth().tobytes()}], schema=pa.schema([("block", pa.int64()), ("query_ids", pa.binary()), ("query_kind", pa.string()), ("queries", pa.binary()), ("floor", pa.binary())]))
 
     def search(table: pa.Table) -> pa.Table:
         best = q = None
@@ -183,10 +202,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard_rows: in
         return pa.table({"query_id": np.repeat(best.own, found.sum(axis=1)), "vec_id": best.ids[found], "score": best.exact[found]})
 
     forest = materialize(trees(candidates, dims, shards))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, query_ids binary, queries binary")
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, query_ids binary, query_kind string, queries binary")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     first = forest.where(F.col("shard") == forest.agg(F.min("shard")).first()[0]).withColumn("block", every)
-    floors = packed.join(first, "block").mapInArrow(pilot, "block long, query_ids binary, queries binary, floor binary")
+    floors = packed.join(first, "block").mapInArrow(pilot, "block long, query_ids binary, query_kind string, queries binary, floor binary")
     meet = forest.withColumn("block", every).join(floors, "block").withColumn("part", F.floor(F.col("shard") / trees_a_task))
     found = meet.groupBy("block", "part").applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
