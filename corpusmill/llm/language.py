@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-A model has one table per n-gram order: the sorted hashes of all n-grams seen in any language, beside
-them one log probability per language, fully interpolated, and a table of contexts with the back-off
-weights. Hashes are a bijection of the packed n-gram, so no two collide. Texts are scored whole; the
+A model has one table per n-gram order: the sorted hashes of all n-grams seen in any language, and behind
+each hash the log probabilities, fully interpolated, of the languages that have seen it; and such a table
+of contexts with the back-off weights. So a model holds what its languages have seen, never n-grams times
+languages. Hashes are a bijection of the packed n-gram, so no two collide; letters outside the Basic
+Multilingual Plane share one code, so scripts there are one letter each time. Texts are scored whole; the
 language of the lowest cross-entropy per character wins. A logistic curve over the margin to the next
 language and a bound on the cross-entropy itself, both fitted on rows left out of the counts, give the
 score and the rejection.
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64
+from .common import U64, mix64, slices, tidy
 
 ORDER, CODE_BITS = 4, 16
 UNKNOWN = "und"
@@ -53,16 +55,31 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class HashTable:
-    """Sorted hashes with rows of values; a directory on the top bits leaves a step or two to search."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        hashes = mix64(keys)
-        order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], values[order].astype(np.float32)
-        bits = max(1, int(len(keys)).bit_length())
+    """Sorted hashes, each with entries (language, value); a directory on the top bits leaves a step or two to search."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """parts: (distinct keys, values) of each language."""
+        hashes = mix64(np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, U64))
+        owners = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(k) for k, _ in parts])
+        values = np.concatenate([v for _, v in parts]) if parts else np.zeros(0)
+        order = np.argsort(hashes, kind="stable")
+        hashes, self.owners, self.values = hashes[order], owners[order], values[order].astype(np.float32)
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        self.hashes, self.first = hashes[new], np.append(np.flatnonzero(new), len(hashes))
+        bits = max(1, int(len(self.hashes)).bit_length())
         self.shift = U64(64 - bits)
         self.starts = np.searchsorted(self.hashes >> self.shift, np.arange(1 << bits, dtype=U64))
 
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in keys, language, value) of all entries of the keys."""
+        at = self.find(keys)
+        seen = np.flatnonzero(at >= 0)
+        lo = self.first[at[seen]]
+        n = self.first[at[seen] + 1] - lo
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
+        return np.repeat(seen, n), self.owners[which], self.values[which]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where there is none."""
         want = mix64(keys)
@@ -90,33 +107,28 @@ class Model:
     intercept: float = 0.0
     limits: np.ndarray | None = None  # cross-entropy above which a text is rejected
 
-    def log_probs(self, packed: np.ndarray, order: int = ORDER) -> np.ndarray:
+    def log_probs(self, packed: np.ndarray) -> np.ndarray:
         """(n-grams, languages) log2 probabilities of the last character given those before."""
-        mask = U64((1 << (CODE_BITS * order)) - 1)
-        keys = packed & mask
-        at = self.tables[order - 1].find(keys)
-        out = self.tables[order - 1].values[at] if len(self.tables[order - 1].hashes) else np.zeros((len(keys), len(self.languages)), np.float32)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            if order == 1:
-                out[miss] = self.floor
-            else:
-                low = self.log_probs(packed[miss], order - 1)
-                held = self.contexts[order - 2]
-                ctx = held.find(keys[miss] >> U64(CODE_BITS))
-                seen = ctx >= 0
-                low[seen] += held.values[ctx[seen]]
-                out[miss] = low
+        out = np.tile(np.asarray(self.floor, dtype=np.float32), (len(packed), 1))
+        for order in range(1, ORDER + 1):
+            keys = packed & U64((1 << (CODE_BITS * order)) - 1)
+            if order > 1:
+                row, lang, weight = self.contexts[order - 2].entries(keys >> U64(CODE_BITS))
+                out[row, lang] += weight
+            row, lang, value = self.tables[order - 1].entries(keys)
+            out[row, lang] = value
         return out
 
-    def cross_entropy(self, texts: list[str | None], step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, languages) bits per character, and letters per row."""
+    def cross_entropy(self, texts: list[str | None], cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, languages) bits per character, and letters per row. An n-gram is looked up once a step."""
         packed, rows, letters = grams(texts)
         total = np.zeros((len(texts), len(self.languages)))
+        step = max(1, cells // max(1, len(self.languages)))
         for lo in range(0, len(packed), step):
             r = rows[lo : lo + step]
+            kinds, which = np.unique(packed[lo : lo + step], return_inverse=True)
             starts = np.flatnonzero(np.diff(r, prepend=-1))
-            total[r[starts]] += np.add.reduceat(self.log_probs(packed[lo : lo + step]).astype(np.float64), starts, axis=0) if len(r) else 0
+            total[r[starts]] += np.add.reduceat(self.log_probs(kinds).astype(np.float64)[which], starts, axis=0)
         return -total / np.maximum(np.bincount(rows, minlength=len(texts)), 1)[:, None], letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -137,41 +149,34 @@ class Model:
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """A model from each language's (packed n-grams of the highest order, counts)."""
     languages = sorted(counts)
-    levels = {}
-    for lang in languages:
+    letters = np.unique(np.concatenate([np.unique(k & U64((1 << CODE_BITS) - 1)) for k, _ in counts.values()])) if languages else np.zeros(0, U64)
+    tables: list[list] = [[] for _ in range(ORDER)]
+    contexts: list[list] = [[] for _ in range(ORDER - 1)]
+    floor = np.zeros(len(languages), np.float32)
+    for j, lang in enumerate(languages):
         keys, n = counts[lang]
         order = np.argsort(keys)
-        own = {ORDER: (keys[order], n[order].astype(np.float64))}
+        levels = {ORDER: (keys[order], n[order].astype(np.float64))}
         for k in range(ORDER - 1, 0, -1):  # below the top: in how many contexts one character longer
-            shorter, kinds = np.unique(own[k + 1][0] & U64((1 << (CODE_BITS * k)) - 1), return_counts=True)
-            own[k] = (shorter, kinds.astype(np.float64))
-        levels[lang] = own
-    letters = np.unique(np.concatenate([levels[x][1][0] for x in languages])) if languages else np.zeros(0, U64)
-    size = len(languages)
-    model = Model(languages, [], [], np.zeros(size, np.float32))
-    for k in range(1, ORDER + 1):
-        every = np.unique(np.concatenate([levels[x][k][0] for x in languages])) if languages else np.zeros(0, U64)
-        heads = np.unique(every >> U64(CODE_BITS)) if k > 1 else np.zeros(1, U64)
-        base = np.exp2(model.log_probs(every, k - 1).astype(np.float64)) if k > 1 else np.full((len(every), size), 1 / (len(letters) + 1))
-        probs, weights = np.empty((len(every), size)), np.ones((len(heads), size))
-        for j, lang in enumerate(languages):
-            keys, n = levels[lang][k]
+            shorter, kinds = np.unique(levels[k + 1][0] & U64((1 << (CODE_BITS * k)) - 1), return_counts=True)
+            levels[k] = (shorter, kinds.astype(np.float64))
+        lower = lower_keys = None
+        for k in range(1, ORDER + 1):
+            keys, n = levels[k]
             ones, twos = (n == 1).sum(), (n == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            head = np.searchsorted(heads, keys >> U64(CODE_BITS)) if k > 1 else np.zeros(len(keys), dtype=np.int64)
+            heads, head = np.unique(keys >> U64(CODE_BITS), return_inverse=True) if k > 1 else (np.zeros(1, U64), np.zeros(len(keys), dtype=np.int64))
             total = np.bincount(head, weights=n, minlength=len(heads))
-            kinds = np.bincount(head, minlength=len(heads))
-            weights[:, j] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            mine = np.zeros(len(every))
-            mine[np.searchsorted(every, keys)] = np.maximum(n - discount, 0) / total[head]
-            at = np.searchsorted(heads, every >> U64(CODE_BITS)) if k > 1 else np.zeros(len(every), dtype=np.int64)
-            probs[:, j] = mine + weights[at, j] * base[:, j]
-        model.tables.append(HashTable(every, np.log2(np.maximum(probs, 1e-12))))
-        if k == 1:
-            model.floor = np.log2(np.maximum(weights[0] / (len(letters) + 1), 1e-12)).astype(np.float32)
-        else:
-            model.contexts.append(HashTable(heads, np.log2(np.maximum(weights, 1e-12))))
-    return model
+            weight = np.where(total > 0, discount * np.bincount(head, minlength=len(heads)) / np.maximum(total, 1), 1.0)
+            # an n-gram's end of one character less was seen with it
+            base = lower[np.searchsorted(lower_keys, keys & U64((1 << (CODE_BITS * (k - 1))) - 1))] if k > 1 else 1 / (len(letters) + 1)
+            lower, lower_keys = np.maximum(n - discount, 0) / total[head] + weight[head] * base, keys
+            tables[k - 1].append((keys, np.log2(np.maximum(lower, 1e-12))))
+            if k > 1:
+                contexts[k - 2].append((heads, np.log2(np.maximum(weight, 1e-12))))
+            else:
+                floor[j] = np.log2(max(weight[0] / (len(letters) + 1), 1e-12))
+    return Model(languages, [HashTable(t) for t in tables], [HashTable(c) for c in contexts], floor)
 
 
 def platt(x: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -211,26 +216,31 @@ def _chars(text):
 
 def train(labelled: DataFrame, sample_chars: int = 3_000_000, reject_quantile: float = 0.999, seed: int = 3) -> Model:
     """Fits a model on (text, lang) rows. A bounded sample is used: per language about `sample_chars`
-    characters of whole texts, drawn from all rows by a hash of the text; a tenth of it calibrates."""
+    characters of whole texts, drawn from all rows by a hash of the text; a tenth of it calibrates. The text
+    of a language with the smallest hash is always drawn and counted, so no language is lost. The driver holds
+    the distinct n-grams of the sample (some 20 bytes each), the tasks the model (some 20 bytes an n-gram)."""
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.sum(_chars(F.col("text"))).alias("chars"))
-    chance = sizes.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1))).alias("p"))
+    place = F.xxhash64("text", F.lit(seed))
+    sizes = rows.groupBy("lang").agg(F.sum(_chars(F.col("text"))).alias("chars"), F.min(F.when(_chars(F.col("text")) > 0, place)).alias("first"))
+    chance = sizes.select(F.col("lang").alias("l"), "first", F.least(F.lit(1.0), F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1))).alias("p"))
     if rows.select("lang").distinct().count() <= BROADCAST_LANGUAGES:  # else whole texts would be shuffled by language
         chance = F.broadcast(chance)
     draw = lambda s: F.pmod(F.xxhash64("text", F.lit(s)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(chance, F.col("lang") == F.col("l")).where(draw(seed) < F.col("p")).withColumn("test", draw(seed + 1) < 0.1).select("text", "lang", "test")
+    sample = rows.join(chance, F.col("lang") == F.col("l")).where((draw(seed) < F.col("p")) | (place == F.col("first"))).withColumn("test", (draw(seed + 1) < 0.1) & (place != F.col("first"))).select("text", "lang", "test")
 
     def count(batches):
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
-            if not len(texts):
-                continue
-            packed, where, _ = grams(texts)
-            for lang in sorted(set(langs)):
-                keys, n = np.unique(packed[langs[where] == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = sample.where("not test").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+            for lo, hi in slices(batch.column(0), 4 << 20):
+                part = batch.slice(lo, hi - lo)
+                yield from counts(part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), dtype=object))
+
+    def counts(texts, langs):
+        packed, where, _ = grams(texts)
+        for lang in sorted(set(langs)):
+            keys, n = np.unique(packed[langs[where] == lang], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    counted = sample.where("not test").select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs, keys, n = np.array(counted.column("lang").to_pylist(), dtype=object), counted.column("gram").to_numpy().view(U64), counted.column("n").to_numpy()
     model = kneser_ney({x: (keys[langs == x], n[langs == x]) for x in sorted(set(langs))})
     if not model.languages:
@@ -243,7 +253,7 @@ def train(labelled: DataFrame, sample_chars: int = 3_000_000, reject_quantile: f
                 bits, letters = shared.value.cross_entropy(batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(letters)], names=["lang", "bits", "letters"])
 
-    held = sample.where("test").select("text", "lang").mapInArrow(measure, "lang string, bits array<double>, letters long").where("letters > 0").collect()
+    held = sample.where("test").select("text", "lang").mapInArrow(tidy(measure), "lang string, bits array<double>, letters long").where("letters > 0").collect()
     if held:
         bits = np.array([r["bits"] for r in held])
         best, low = bits.argmin(axis=1), np.sort(bits, axis=1)
@@ -266,19 +276,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out, lo = [], 0
-            while lo < len(texts):  # whole texts, about a million characters at a time
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= 1 << 20):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                out.append(shared.value.predict(texts[lo:hi]))
-                lo = hi
+            texts = batch.column(1)
+            out = [shared.value.predict(texts.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(texts, 1 << 20)]
             langs = [x for part in out for x in part[0]]
             score = np.concatenate([part[1] for part in out]) if out else np.zeros(0)
             rejected = np.concatenate([part[2] for part in out]) if out else np.zeros(0, dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
