@@ -80,7 +80,7 @@ def plan(n: int, dims: int, threshold: float, probes: int, recall: float, load:
     b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
     ca, cb = codes(a, 1, hashes, probes)[:, 0], codes(threshold * a + np.sqrt(1 - threshold**2) * b, 1, hashes, probes)[:, 0]
     p = float(_meet(ca[:, None, :], cb[:, None, :])[:, 0].mean())
-    return hashes, min(64, max(2, ceil(log(1 - recall) / log(1 - min(p, 0.999)))))
+    return hashes, max(2, ceil(log(1 - recall) / log(1 - min(max(p, 1e-6), 0.999))))
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _local_roots(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         labels = after
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, probes: int = 2, recall: float = 0.999, block_rows: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, probes: int = 2, recall: float = 0.999, block_rows: int = 1024) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null and their cosine is at least `threshold`. Null and
@@ -115,6 +115,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     shape = classes.groupBy("label", F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max("dims")).first()
     most, dims = shape[0] or 0, shape[1] or 1
     hashes, tables = plan(most, dims, threshold, probes, recall)
+    small = np.min_scalar_type((2 << max(1, (dims - 1).bit_length())) ** hashes).newbyteorder("<")  # holds every code
 
     def encode(batches):
         for batch in batches:
@@ -127,7 +128,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 scaled = wide / np.abs(wide).max(axis=1, keepdims=True)
                 found = codes(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), tables, hashes, probes)
                 blobs = np.split(values.astype(store), np.cumsum(lens)[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in blobs], pa.binary()), part.column(2), part.column(3), pa.array([c.tobytes() for c in found], pa.binary()), pa.array(found.reshape(len(lens), -1).tolist(), pa.list_(pa.int64()))], names=["rep", "blob", "label", "copies", "codes", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in blobs], pa.binary()), part.column(2), part.column(3), pa.array([c.astype(small).tobytes() for c in found], pa.binary()), pa.array(found.reshape(len(lens), -1).tolist(), pa.list_(pa.int64()))], names=["rep", "blob", "label", "copies", "codes", "buckets"])
 
     coded = materialize(classes.select("rep", "v", "label", "copies").mapInArrow(encode, "rep long, blob binary, label string, copies long, codes binary, buckets array<long>"))
     sent = coded.select("rep", "label", F.octet_length("blob").alias("size"), F.posexplode("buckets").alias("place", "bucket"))
@@ -154,7 +155,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if not len(a):
             return pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         roots = _local_roots(near, rep)
-        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.int64).reshape(len(rep), tables, 1 + probes)
+        code = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=small).reshape(len(rep), tables, 1 + probes)
         new = np.ones(len(a), dtype=bool)
         for lo in range(0, len(a), 1 << 14):  # count a pair in the first table where it meets, and there once
             i, j = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
