@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, slices, utf8, word_hashes, words_of
+from .common import U64, Table, mix64, slices, tidy, utf8, word_hashes, words_of
 from .language import platt
 
 BITS = 18
@@ -121,11 +121,12 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 20_000, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 20_000, sample_bytes: int = 1 << 27, seed: int = 7) -> Model:
     """Fits on about `sample_docs` labelled documents, drawn from all by a hash of the id.
 
-    The sample's size is the bound on what is broadcast (ids) and sent to the driver (features). Null ids
-    and labels are left out; of repeated labels the largest counts.
+    The sample's size bounds what is broadcast (ids); the driver gets `sample_bytes` of features (4 bytes each)
+    at most: whole documents in the order of their hashes until the bound, which very long or repeated
+    documents alone can reach. Null ids and labels are left out; of repeated labels the largest counts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("key")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = known.count()
@@ -136,14 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def extract(batches):
         for batch in batches:
-            texts = utf8(batch.column(2))
+            texts = batch.column(2)
             for lo, hi in slices(texts, 1 << 20):
-                where, found = features(texts[lo:hi])
+                where, found = features(utf8(texts.slice(lo, hi - lo)))
                 cut = np.searchsorted(where, np.arange(1, hi - lo))
                 blobs = [x.astype(np.int32).tobytes() for x in np.split(found, cut)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["key", "label", "found"])
 
-    held = rows.mapInArrow(extract, "key long, label int, found binary").toArrow()
+    made = Table(rows.mapInArrow(tidy(extract), "key long, label int, found binary").withColumn("place", F.xxhash64("key", F.lit(seed + 1))))
+    sizes = made.df.select("place", F.octet_length("found").alias("size")).toArrow()  # a few bytes a drawn document
+    order = np.argsort(place := sizes.column("place").to_numpy(), kind="stable")
+    upto = np.cumsum(sizes.column("size").to_numpy()[order])
+    last = int(np.searchsorted(upto, sample_bytes, side="right"))
+    held = (made.df if last == len(order) else made.df.where(F.col("place") < int(place[order[last]]))).toArrow()
+    made.drop()
     found = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in held.column("found").to_pylist()]
     keys = mix64(held.column("key").to_numpy().astype(np.int64).view(U64))
     order = sorted(range(len(found)), key=lambda i: (keys[i], found[i].tobytes()))
@@ -158,12 +165,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(column):
-        texts = [None if t is None else t.encode("utf-8", "replace") for t in column]
-        parts = [shared.value.score(texts[lo:hi]) for lo, hi in slices(texts)]
-        import pandas as pd
-
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([x for lo, hi in slices(texts, 1 << 20) for x in shared.value.score(utf8(texts.slice(lo, hi - lo)))], pa.float64())
 
     return docs.withColumn("score", score(F.col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
