@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered in a task; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Words (and four times as many pairs of tokens) remembered in a task; beyond it the memory starts anew.
+MEMORY = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -108,6 +108,8 @@ class Codec:
         key = a * self.size + b
         found = self.beside.get(key)
         if found is None:
+            if len(self.beside) > 4 * MEMORY:
+                self.beside.clear()
             found = self.beside[key] = self._compatible(a, b)
         return found
 
@@ -258,13 +260,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         cell: list = []
         for batch in batches:
-            codec, texts = _codec(shared, cell), [t or "" for t in batch.column(1).to_pylist()]
+            codec, texts = _codec(shared, cell), batch.column(1)
             for lo, hi in slices(texts, 1 << 20):
-                ids = codec.encode(texts[lo:hi])
+                ids = codec.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -278,7 +280,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = [codec.decode(np.asarray(x.values.to_numpy(zero_copy_only=False))).decode() if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), ids_col).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), ids_col).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,13 +293,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         cell: list = []
         for batch in batches:
-            codec, texts = _codec(shared, cell), [t or "" for t in batch.column(1).to_pylist()]
+            codec, texts = _codec(shared, cell), batch.column(1)
             rows = []
             for lo, hi in slices(texts, 1 << 20):
-                for ids in codec.encode(texts[lo:hi]):
+                for ids in codec.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]):
                     rows.append((len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, own, back = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
