@@ -9,6 +9,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import xxhash
+
+from corpusmill.llm import similar as similar_module
 from corpusmill.llm import bpe, chat, common, embedding, language, lines, mixing, quality, simhash, substring, topk
 
 DOCS = "doc_id long, text string, source string, fp long, size long, span string, key string"
@@ -61,7 +64,7 @@ def test_simhash(spark, corpus_texts):
 
 
 def test_simhash_with_similarity(spark, corpus_texts):
-    """All texts at 0.85 and more are together; groups hang together by similarities of 0.7 and more (four standard errors)."""
+    """All texts of 0.8 and more are together, and no others."""
     rng = random.Random(3)
     texts = list(corpus_texts)
     for t in [t for t in corpus_texts if t and len(t.split()) > 70][:8]:
@@ -84,23 +87,20 @@ def test_simhash_with_similarity(spark, corpus_texts):
         return comp
 
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, texts), words=5, similarity=0.8).collect()}
-    fine, coarse = groups(0.85), groups(0.7)
-    assert len(got) == len(texts)
-    assert all(got[i] == got[fine[i]] and coarse[i] == coarse[got[i]] for i in got)
-    assert len(set(fine)) > len(set(got.values())) - 1 and len(set(fine)) < len(texts) - 20
+    want = groups(0.8)
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts) - 20
     assert simhash.near_duplicates(docs_of(spark, []), words=5, similarity=0.8).count() == 0
     odd = docs_of(spark, ["a b c d e f", "a b c d e f", None, "", "a b c d e f"], [7, None, None, 3, 7])
     assert sorted(r["component_id"] for r in simhash.near_duplicates(odd, words=5, similarity=0.8).collect()) == [3, 3, 7, 7, 7]
 
 
 def similar(texts, bound):
-    """The smallest index of each text's group: linked by exact five-word shingle similarity, or by fingerprints within 4 bits."""
+    """The smallest index of each text's group: linked by exact five-word shingle similarity."""
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    prints = [simhash.simhash(t.encode(), 5) for t in texts]
     comp = list(range(len(sets)))
     for i, a in enumerate(sets):
         for j in range(i):
-            if comp[i] != comp[j] and ((prints[i] ^ prints[j]).bit_count() <= 4 or len(a & sets[j]) / len(a | sets[j]) >= bound):
+            if comp[i] != comp[j] and len(a & sets[j]) / len(a | sets[j]) >= bound:
                 comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
     return comp
 
@@ -140,13 +140,83 @@ def test_ball_hashing_finds_all_within_radius(spark):
     prints = [rng.getrandbits(64) for _ in range(200)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), k)) for p in prints[:100] for k in (2, 4, 5)]
     fps = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in set(prints)], "fp long")
-    roots = {r["fp"] % 2**64: r["root"] for r in simhash.link_fingerprints(fps).collect()}
+    groups = common.connected_components(simhash.fingerprint_links(fps))
+    roots = {p: p for p in prints} | {r["node"] % 2**64: r["component"] % 2**64 for r in groups.collect()}
     for a in set(prints):
         for b in set(prints):
             if (a ^ b).bit_count() <= 4:
                 assert roots[a] == roots[b]
 
 
+def thue_morse(n):
+    """Two words of 2**n letters that polynomial hashes modulo a power of two do not tell apart."""
+    one, two = "a", "b"
+    for _ in range(n):
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_word_hashes_tell_hard_words_apart(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 20))) for _ in range(2000)] + [w for n in (3, 4, 5, 10, 12) for w in thue_morse(n)]
+    words = sorted({w for w in words if w.split() == [w]})
+    data = [w.encode() for w in words]
+    hashes = common.word_hashes(*common.words_of(data)[:3])
+    assert len(set(hashes.tolist())) == len(words)
+    assert not set(hashes.tolist()) & set(common.word_hashes(*common.words_of(data)[:3], 1).tolist())
+    again = common.word_hashes(*common.words_of([b" ".join(data)])[:3])
+    assert (hashes == again).all()
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_substring_and_similarity_with_hard_words(spark, n):
+    one, two = thue_morse(n)
+    rest = " ".join("w%d" % i for i in range(19))
+    docs = docs_of(spark, [f"{one} {rest}", f"{two} {rest}"], [1, 2])
+    got = {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(docs).collect()}
+    assert got == {1: 0, 2: 0}
+    assert (similar_module.shingle_set(one.encode()) != similar_module.shingle_set(two.encode())).all()
+    order = " ".join("ab"[bin(i).count("1") % 2] for i in range(20)), " ".join("ba"[bin(i).count("1") % 2] for i in range(20))
+    assert [r["n_removed"] for r in substring.without_repeats(docs_of(spark, list(order))).collect()] == [0, 0]
+
+
+def test_substring_rows_that_share_an_id(spark):
+    """Rows of one id, or none, but other texts are documents of their own, in the order of their texts' hashes."""
+    w = " ".join("w%d" % i for i in range(30))
+    for key in (1, None):
+        rows = substring.without_repeats(docs_of(spark, [w, "zz " + w], [key, key])).collect()
+        assert sorted((r["n_words"], r["n_removed"]) for r in rows) in ([(30, 0), (31, 30)], [(30, 30), (31, 0)])
+    rows = substring.without_repeats(docs_of(spark, [w, "other words", w + " end", w], [None, None, 4, 2])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in rows) == [(0, 2, 0), (0, 30, 0), (2, 30, 30), (4, 31, 30)]
+    copies = substring.without_repeats(docs_of(spark, [w, w, "zz " + w], [7, 7, 8])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in copies) == [(7, 0), (7, 0), (8, 30)]
+
+
+def test_fingerprint_against_a_plain_version():
+    rng = random.Random(11)
+    words = ["The", "cat", "É", "日本", "sat", "a\u00a0b", "x" * 40]
+    for _ in range(200):
+        text = "".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", "  "]) for _ in range(rng.randint(0, 30)))
+        raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+        tokens = [t for t in __import__("re").split(rb"[\x20\x09-\x0D]+", raw) if t]
+        shingles = [b" ".join(tokens[i : i + 4]) for i in range(max(1, len(tokens) - 3))] if tokens else []
+        votes = [sum(xxhash.xxh64_intdigest(x, seed=42) >> b & 1 for x in shingles) for b in range(64)]
+        assert simhash.simhash(text.encode()) == sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
+
+
+def test_representatives(spark):
+    """One row of each group stays: smallest id, then smallest hash of the text; null ids last; equal rows once."""
+    t = " ".join("w%d" % i for i in range(60))
+    near = t + " more"
+    docs = docs_of(spark, [t, near, t, "other text", t, None, "", "lone"], [5, 3, 3, 5, None, None, 9, None])
+    left = simhash.representatives(docs, simhash.near_duplicates(docs, words=5, similarity=0.8))
+    got = sorted(((r["doc_id"] or -1), r["text"] or "") for r in left.collect())
+    assert [g for g in got if g[1] not in (t, near)] == [(-1, "lone"), (5, "other text"), (9, "")]
+    assert len(got) == 4 and [g[0] for g in got if g[1] in (t, near)] == [3]
+    assert left.columns == docs.columns
+    assert simhash.representatives(docs.limit(0), simhash.near_duplicates(docs.limit(0), words=5, similarity=0.8)).count() == 0
+
+
 def test_substring(spark, corpus_texts):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.without_repeats(docs_of(spark, corpus_texts)).collect()}
     seen, want = set(), {}
@@ -181,6 +251,16 @@ def test_lines(spark, corpus_texts):
     assert lines.without_repeated_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_with_shared_ids_and_clashing_columns(spark):
+    """Null ids come first; rows of one id but other texts are told apart, equal rows fare alike; other columns stay."""
+    rows = [(None, "x y\nz"), (3, "x y\nq"), (3, "x y\nr"), (3, "x y\nr"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 7, "th", "gone", 1, 2) for i, t in rows], "doc_id long, text string, d int, th string, gone string, n_lines int, k int")
+    out = lines.without_repeated_lines(docs, min_words=1)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "d", "th", "gone", "k", "n_lines", "n_removed"])
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_lines"], r["n_removed"], r["d"], r["th"], r["gone"], r["k"]) for r in out.collect())
+    assert [g[:4] for g in got] == [(0, "", 0, 0), (0, "x y\nz", 2, 0), (3, "q", 2, 1), (3, "r", 2, 1), (3, "r", 2, 1)] and all(g[4:] == (7, "th", "gone", 2) for g in got)
+
+
 def test_lines_without_floor(spark):
     """From one word on, later copies of every repeated line go, whatever lies around them."""
     texts = ["one\ntwo\n\nthree", "two\nfour five\n", "x\nthree\n\nx\none", None, ""]
@@ -190,16 +270,60 @@ def test_lines_without_floor(spark):
 
 def test_mixing(spark, corpus_texts):
     docs = docs_of(spark, corpus_texts)
-    rows = mixing.mix(docs.drop("size"), block_words=10).collect()
-    again = mixing.mix(docs.drop("size").repartition(7), block_words=10).collect()
+    rows = mixing.mix(docs, block_words=10).collect()
+    again = mixing.mix(docs.repartition(7), block_words=10).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
     for source in ("s", None):
         own = [r for r in rows if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10 and all(0 <= r["taken"] <= 3 * r["size"] for r in own)
         assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
-    mixed = mixing.mixed_rows(mixing.mix(docs.drop("size")))
-    assert mixed.select(lines.words_in(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == sum(r["taken"] for r in mixing.mix(docs.drop("size")).collect())
-    assert mixing.mix(docs_of(spark, []).drop("size")).count() == 0
+    mixed = mixing.mixed_rows(mixing.mix(docs))
+    assert mixed.select(lines.words_in(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == sum(r["taken"] for r in mixing.mix(docs).collect())
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+
+
+def brute_taken(rows, targets, block, shard_rows, most):
+    """taken of each row by plain loops: highest quotients block by block, seeded order, whole passes first."""
+    def seats(votes, n):
+        got = [0] * len(votes)
+        for _ in range(n if sum(votes) else 0):
+            got[max(range(len(votes)), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+        return got
+
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    out = {}
+    for name, blocks in zip(names, seats([targets[s] for s in names], round(sum(targets.values()) / block)), strict=True):
+        own = [r for r in rows if r["source"] == name]
+        n = max(1, -(-len(own) // shard_rows))
+        shards = [[r for r in own if r["place"] % n == k] for k in range(n)]
+        held = [sum(r["size"] for r in x) for x in shards]
+        for docs, words, got in zip(shards, held, seats(held, blocks), strict=True):
+            left = min(got * block, most * words)
+            whole = left // words if words else 0
+            left -= whole * words
+            for r in sorted(docs, key=lambda r: (r["order"], r["doc_id"], r["size"])):
+                out[r["doc_id"]] = whole * r["size"] + max(0, min(left, r["size"]))
+                left -= r["size"]
+    return out
+
+
+def test_mix_against_plain_loops(spark, corpus_texts):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, corpus_texts).drop("size")
+    keyed = docs.select("doc_id", "source", lines.words_in(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(17)).alias("place"), F.xxhash64("doc_id", "text", F.lit(18)).alias("order"))
+    for block, shard_rows in ((10, 7), (100, 2000), (3, 1)):
+        rows = mixing.mix(docs, block_words=block, shard_rows=shard_rows).collect()
+        got = {r["doc_id"]: r["taken"] for r in rows}
+        assert got == brute_taken([r.asDict() for r in keyed.collect()], {r["source"]: r["target"] for r in rows}, block, shard_rows, 3)
+
+
+def test_mix_with_clashing_and_null_columns(spark):
+    rows = [(None, "a b c", "s", "x"), (None, "a b c", "s", "y"), (1, None, None, "z"), (1, "d e", None, "w"), (2, "", "t", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string").selectExpr("*", "1 AS size", "2 AS target", "3 AS source_size", "4 AS mixture")
+    out = mixing.mix(docs)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "source", "mixture", "size", "source_size", "target", "taken"]) and out.count() == 5
+    assert sum(r["size"] for r in out.collect()) == 8 and all(0 <= r["taken"] <= 3 * r["size"] for r in out.collect())
 
 
 def test_mixed_rows_keep_white_space(spark):
@@ -295,6 +419,26 @@ def test_topk(spark):
         want = sorted(((j, dot(whole[i], whole[j])) for j in whole if j != i), key=lambda x: (-x[1], x[0]))[:20]
         assert got[i] == want
     assert topk.top_k(q.limit(0), q).count() == 0
+    few = topk.top_k(q.where("vec_id = 0"), q.where("vec_id < 5").withColumn("score", q.vec_id).withColumn("rank", q.vec_id), 20).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in few] == [(k + 1, j) for k, j in enumerate(sorted((1, 2, 3, 4), key=lambda j: (-dot(whole[0], whole[j]), j)))]
+
+
+def test_tree_descent_cuts_subtrees():
+    """Clustered points: a query's own cluster is found and most leaves are never looked at."""
+    rng = np.random.default_rng(4)
+    points = (rng.standard_normal((32, 8)) * 1000).repeat(64, axis=0).astype(np.int64) + rng.integers(-3, 4, (2048, 8))
+    order, centers, radii, nodes = topk.build_tree(points, 32)
+    tree = {"ids": order, "vectors": points[order], "centers": centers, "radii": radii, "nodes": nodes}
+    queries = points[::100]
+    best, looked = topk.Best(np.arange(0, 2048, 100), 5, np.full(len(queries), -np.inf)), []
+    plain = best.add
+    best.add = lambda rows, ids, scores: (looked.append(len(rows)), plain(rows, ids, scores))
+    topk.search_tree(tree, queries, best)
+    assert sum(looked) < len(queries) * int(nodes[:, 3].sum()) / 4
+    for k, q in enumerate(queries):
+        scores = points @ q
+        want = sorted((j for j in range(2048) if j != k * 100), key=lambda j: (-scores[j], j))[:5]
+        assert best.ids[k].tolist() == want
 
 
 def test_language(spark):
