@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tidy
+from .common import release, slices, tidy
 
 #: Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,6 +54,8 @@ class Vocabulary:
         pre, model = spec["pre_tokenizer"] or {}, spec["model"]
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
+        if odd := [t["content"] for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+            raise ValueError(f"added tokens that take white space or stand alone are not supported: {odd[:5]}")
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -243,6 +245,13 @@ class Codec:
         return hashlib.sha256(b",".join(map(self.decimals.__getitem__, ids.tolist()))).hexdigest()
 
 
+def _shared(docs: DataFrame, path: str):
+    """The vocabulary, broadcast: its size is that of the file."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    release()
+    return shared
+
+
 def _codec(shared, cell: list) -> Codec:
     if not cell:
         cell.append(Codec(shared.value))
@@ -255,7 +264,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Strings of added tokens in a text become those tokens. Ids may be null or repeat; other columns are
     ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    shared = _shared(docs, path)
 
     def run(batches):
         cell: list = []
@@ -271,7 +280,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text): the text of the token ids; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    shared = _shared(encoded, path)
 
     def run(batches):
         cell: list = []
@@ -288,7 +297,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     Nulls, blanks and repeats are as in `encode`.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
+    shared = _shared(docs, path)
 
     def run(batches):
         cell: list = []

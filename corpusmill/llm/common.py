@@ -27,7 +27,7 @@ NULL_ID = -(2**63)
 U64 = np.uint64
 
 
-__all__ = ["IS_WORD", "NULL_ID", "SEPARATORS", "Table", "connected_components", "delete", "materialize", "mix64", "partitions", "random_u64", "shared_dir", "slices", "tidy", "utf8", "word_hashes", "words_of"]
+__all__ = ["IS_WORD", "NULL_ID", "SEPARATORS", "Table", "connected_components", "delete", "materialize", "mix64", "partitions", "random_u64", "release", "settle", "shared_dir", "slices", "tidy", "utf8", "word_hashes", "words_of"]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -72,19 +72,31 @@ def slices(texts: pa.Array | list[bytes | None], limit: int = 4 << 20) -> Iterat
         yield lo, len(lens)
 
 
+def release() -> None:
+    """Gives freed memory of this Python process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def settle(spark: SparkSession) -> None:
+    """Between the phases of a long operator: what finished jobs hold goes (plans on the driver, and with them their
+    shuffle files on the executors)."""
+    release()
+    spark._jvm.System.gc()
+
+
 def tidy(run):
-    """A function of batches for mapInArrow that gives memory back to the system when its task ends: idle workers stay small."""
+    """A function of batches for mapInArrow that gives memory back when its task ends: idle workers stay small."""
 
     @wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            release()
 
     return wrapped
 

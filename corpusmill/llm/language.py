@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, slices, tidy
+from .common import U64, mix64, release, slices, tidy
 
 ORDER, CODE_BITS = 4, 16
 UNKNOWN = "und"
@@ -243,6 +243,8 @@ def train(labelled: DataFrame, sample_chars: int = 3_000_000, reject_quantile: f
     counted = sample.where("not test").select("text", "lang").mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs, keys, n = np.array(counted.column("lang").to_pylist(), dtype=object), counted.column("gram").to_numpy().view(U64), counted.column("n").to_numpy()
     model = kneser_ney({x: (keys[langs == x], n[langs == x]) for x in sorted(set(langs))})
+    del counted, langs, keys, n
+    release()
     if not model.languages:
         return model
     shared = labelled.sparkSession.sparkContext.broadcast(model)

@@ -8,6 +8,7 @@ model is fitted by dual coordinate descent. Platt scaling turns margins into pro
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Table, mix64, slices, tidy, utf8, word_hashes, words_of
+from .common import U64, Table, mix64, release, slices, tidy, utf8, word_hashes, words_of
 from .language import platt
 
 BITS = 18
@@ -72,24 +73,26 @@ class Model:
 
 def log_count_ratio(docs: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     counts = np.full((2, 1 << BITS), alpha)
-    for y in (0, 1):
-        own = [d for d, label in zip(docs, labels, strict=True) if label == y]
-        if own:
-            counts[y] += np.bincount(np.concatenate(own), minlength=1 << BITS)
+    for d, label in zip(docs, labels.tolist(), strict=True):
+        counts[label, d] += 1  # features of a document are distinct
     shares = counts / counts.sum(axis=1, keepdims=True)
     return np.log(shares[1] / shares[0])
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, costs: np.ndarray, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L1-loss linear SVM (Hsieh et al.); rows are (features, values) of unit length."""
+def dual_coordinate_descent(docs: list[np.ndarray], ratio: np.ndarray, signs: np.ndarray, costs: np.ndarray, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L1-loss linear SVM (Hsieh et al.) over documents as features; a document's values are
+    the features' ratios, scaled to unit length and made anew each time, which keeps the sample small in memory."""
     w, bias = np.zeros(1 << BITS), 0.0
-    alpha = np.zeros(len(rows))
+    alpha = np.zeros(len(docs))
     rng = np.random.default_rng(seed)
-    norms = np.array([float(v @ v) + 1.0 for _, v in rows])
+    sizes = np.array([np.linalg.norm(ratio[d]) for d in docs])
+    norms = (sizes > 1e-9) + 1.0
+    scale = 1 / np.maximum(sizes, 1e-9)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            at, value = rows[i]
+        for i in rng.permutation(len(docs)):
+            at = docs[i]
+            value = ratio[at] * scale[i]
             gradient = signs[i] * (float(w[at] @ value) + bias) - 1.0
             after = min(max(alpha[i] - gradient / norms[i], 0.0), costs[i])
             step = (after - alpha[i]) * signs[i]
@@ -111,13 +114,13 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> Model:
     mine = [d for d, t in zip(docs, test, strict=True) if not t]
     y = labels[~test]
     ratio = log_count_ratio(mine, y)
-    unit = lambda d: (d, ratio[d] / max(float(np.linalg.norm(ratio[d])), 1e-9))
     share = np.array([max((y == 0).mean(), 1e-9), max((y == 1).mean(), 1e-9)])
-    w, bias = dual_coordinate_descent([unit(d) for d in mine], np.where(y == 1, 1.0, -1.0), cost * 0.5 / share[y])
+    w, bias = dual_coordinate_descent(mine, ratio, np.where(y == 1, 1.0, -1.0), cost * 0.5 / share[y])
     model = Model(w * ratio, ratio**2, bias)
-    left = [unit(d) for d, t in zip(docs, test, strict=True) if t] or [unit(d) for d in mine]
+    left = [d for d, t in zip(docs, test, strict=True) if t] or mine
     truth = labels[test] if test.any() else y
-    model.slope, model.intercept = platt(np.array([float(w[a] @ v) + bias for a, v in left]), truth == 1)
+    margins = [float(w[d] @ ratio[d]) / max(float(np.linalg.norm(ratio[d])), 1e-9) + bias for d in left]
+    model.slope, model.intercept = platt(np.array(margins), truth == 1)
     return model
 
 
@@ -151,10 +154,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     last = int(np.searchsorted(upto, sample_bytes, side="right"))
     held = (made.df if last == len(order) else made.df.where(F.col("place") < int(place[order[last]]))).toArrow()
     made.drop()
-    found = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in held.column("found").to_pylist()]
+    blobs = held.column("found").combine_chunks()
+    blobs = blobs.combine_chunks() if isinstance(blobs, pa.ChunkedArray) else blobs
+    found = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in blobs]  # views of the one copy
     keys = mix64(held.column("key").to_numpy().astype(np.int64).view(U64))
-    order = sorted(range(len(found)), key=lambda i: (keys[i], found[i].tobytes()))
-    return fit([found[i] for i in order], held.column("label").to_numpy().astype(np.int64)[order])
+    order = sorted(range(len(found)), key=lambda i: (keys[i], len(found[i]), zlib.crc32(found[i])))
+    labels = held.column("label").to_numpy().astype(np.int64)[order]
+    model = fit([found[i] for i in order], labels)
+    del held, blobs, found
+    release()
+    return model
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

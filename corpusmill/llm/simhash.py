@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import U64, connected_components, materialize, partitions, random_u64, slices, tidy, utf8
+from .common import U64, connected_components, materialize, partitions, random_u64, settle, slices, tidy, utf8
 
 BITS = 64
 _PARITY = random_u64(24, 29)
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         name, more, prints = "tid", [F.col("root").alias("group"), F.col("th").alias("text_hash")], materialize(similar.prints(docs, simhash, id_col, text_col, words))
         own = similar.distinct_sets(prints)
         links = similar.links(own, docs, fingerprint_links(materialize(own.select("fp").distinct()), radius, screen), similarity, text_col, words)
+    settle(docs.sparkSession)
     groups = connected_components(links)
     firsts = prints.groupBy(name).agg(F.min("doc_id").alias("low"))
     known = materialize(firsts.join(groups, firsts[name] == groups.node, "left").select(name, "low", F.coalesce("component", name).alias("root")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, connected_components, materialize, mix64, partitions, random_u64, slices, tidy, utf8, word_hashes, words_of
+from .common import U64, connected_components, materialize, mix64, partitions, random_u64, settle, slices, tidy, utf8, word_hashes, words_of
 
 HASHES, BANDS, ROWS = 512, 36, 7
 #: Texts of a block: a larger bucket's blocks are compared two at a time.
@@ -247,11 +247,14 @@ def links(own: DataFrame, docs: DataFrame, near: DataFrame, similarity: float, t
     stars = stars.select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"))
     placed = own.select("tid", F.explode("keys").alias("key"), F.col("tid").alias("component"))
     rows = materialize(_open(placed))
+    settle(own.sparkSession)
     pairs = materialize(_proposed(rows, own, similarity, True).unionByName(stars).distinct())
     wanted = rows.select("tid").union(pairs.select("src")).union(pairs.select("dst")).distinct()
     sets = materialize(_sets(docs, own.join(wanted, "tid", "left_semi").select("th", "tid"), text_col, words))
+    settle(own.sparkSession)
     first = materialize(_verified(pairs, sets, similarity))
     groups = materialize(connected_components(first))
+    settle(own.sparkSession)
     moved = rows.drop("component", "size").join(groups, F.col("tid") == F.col("node"), "left").select("key", "tid", F.coalesce("component", "tid").alias("component"))
     rest = materialize(_proposed(_open(moved), own, similarity, False))
     return first.unionByName(materialize(_verified(rest, sets, similarity)))
