@@ -103,7 +103,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors link if their labels are equal and not null and their cosine is at least `threshold`. Null and
     zero vectors, and those with null or non-finite components, link with nothing, nor do rows with null
     ids or vectors of different lengths. Equal vectors (repeated rows too) link with each other and count
-    one by one. The hashing finds nearly all links (`recall` of those at the very threshold, more above
+    one by one; rows that share an id are vectors of their own. The hashing finds nearly all links (`recall` of those at the very threshold, more above
     it); all that it finds are verified. Other columns are ignored; an empty table gives an empty result.
     """
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
@@ -111,7 +111,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("float" if kind == "float" else "double")).alias("v"), F.col(label_col).cast("string").alias("label"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    classes = materialize(rows.where(usable).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = materialize(rows.where(usable).groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     shape = classes.groupBy("label", F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max("dims")).first()
     most, dims = shape[0] or 0, shape[1] or 1
     hashes, tables = plan(most, dims, threshold, probes, recall)
@@ -171,8 +171,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = materialize(full.groupBy(*keys, "x", "y").applyInArrow(verify, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")))
     groups = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    placed = classes.select("rep", "low").join(groups, F.col("rep") == F.col("node"), "left").select("rep", "low", F.coalesce("component", "rep").alias("root"))
+    names = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = placed.join(names, "root").join(counts, "rep", "left").select("rep", "component_id", F.coalesce("links", F.lit(0)).alias("others"))
+    known = classes.join(named, "rep").select("label", "v", (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = rows.where(usable).join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
