@@ -475,3 +475,64 @@ def test_quality(spark):
     assert 0 <= got[900]["score"] <= 1 and got[900]["score"] == got[901]["score"]
     assert quality.classify(df.limit(0), model).count() == 0
     assert quality.train(df.limit(0), labels.limit(0)).margins([b"x"])[0] == 0
+
+
+def test_kneser_ney_against_dictionaries():
+    """Interpolated Kneser-Ney of two languages by plain dictionaries: all probabilities agree, seen and unseen."""
+    rng = random.Random(21)
+    samples = {"xx": ["".join(rng.choice("aab ") for _ in range(40)) for _ in range(12)], "yy": ["".join(rng.choice("abccd ") for _ in range(40)) for _ in range(9)]}
+    packed = {k: language.grams(t)[0] for k, t in samples.items()}
+    model = language.kneser_ney({k: tuple(np.unique(p, return_counts=True)) for k, p in packed.items()})
+    tup = lambda g: tuple((int(g) >> (16 * k)) & 0xFFFF for k in range(language.ORDER - 1, -1, -1))
+    alphabet = {tup(g)[-1] for p in packed.values() for g in p}
+    asked = sorted({*packed["xx"].tolist(), *packed["yy"].tolist(), *(rng.getrandbits(64) for _ in range(20)), *(int(g) ^ 1 for g in packed["xx"][:50])})
+    got = model.log_probs(np.array(asked, dtype=np.uint64))
+    for j, lang in enumerate(["xx", "yy"]):
+        level = {language.ORDER: {}}
+        for g in packed[lang]:
+            level[language.ORDER][tup(g)] = level[language.ORDER].get(tup(g), 0) + 1
+        for k in range(language.ORDER - 1, 0, -1):
+            level[k] = {}
+            for g in level[k + 1]:
+                level[k][g[1:]] = level[k].get(g[1:], 0) + 1
+
+        def prob(gram, k):
+            if k == 0:
+                return 1 / (len(alphabet) + 1)
+            own, counts = gram[-k:], level[k]
+            ones, twos = (sum(n == x for n in counts.values()) for x in (1, 2))
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            same = [n for g, n in counts.items() if g[:-1] == own[:-1]]
+            if not same:
+                return prob(gram, k - 1)
+            return max(counts.get(own, 0) - (discount if own in counts else 0), 0) / sum(same) + discount * len(same) / sum(same) * prob(gram, k - 1)
+
+        for i, g in enumerate(asked):
+            assert abs(got[i, j] - np.log2(prob(tup(g), language.ORDER))) < 1e-3
+
+
+def test_ratio_and_hinge_loss_against_plain_versions():
+    """Log-count ratios by counting; dual coordinate descent reaches the objective that slow projected gradients reach."""
+    rng = np.random.default_rng(9)
+    labels = rng.integers(0, 2, 60)
+    docs = [np.unique(np.concatenate([rng.integers(0, 40, 6), rng.integers(40, 60, 2) + 10 * y])).astype(np.int32) for y in labels.tolist()]
+    ratio = quality.log_count_ratio(docs, labels)
+    counts = {y: {} for y in (0, 1)}
+    for d, y in zip(docs, labels.tolist(), strict=True):
+        for f in d.tolist():
+            counts[y][f] = counts[y].get(f, 0) + 1
+    total = {y: sum(c.values()) + (1 << quality.BITS) for y, c in counts.items()}
+    for f in range(80):
+        assert abs(ratio[f] - np.log((counts[1].get(f, 0) + 1) / total[1] / ((counts[0].get(f, 0) + 1) / total[0]))) < 1e-9
+    signs, costs = np.where(labels == 1, 1.0, -1.0), np.full(60, 0.7)
+    x = np.zeros((60, 81))
+    for i, d in enumerate(docs):
+        x[i, d] = ratio[d] / np.linalg.norm(ratio[d])
+    x[:, 80] = 1.0  # the bias
+    loss = lambda v: 0.5 * v @ v + (costs * np.maximum(0, 1 - signs * (x @ v))).sum()
+    w, bias = quality.dual_coordinate_descent(docs, ratio, signs, costs, epochs=400)
+    alpha = np.zeros(60)
+    gram = (signs[:, None] * x) @ (signs[:, None] * x).T
+    for _ in range(20_000):
+        alpha = np.clip(alpha - 0.01 * (gram @ alpha - 1), 0, costs)
+    assert abs(loss(np.append(w[:80], bias)) - loss((alpha * signs) @ x)) < 1e-2 * loss((alpha * signs) @ x)
