@@ -23,9 +23,10 @@ SPECIAL_TOKENS = ["<|endoftext|>", "<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>"]
 SEPARATOR = "\n\n"
 
 
-def word_counts(docs: DataFrame, text_col: str = "clean", digit_mode: str = "clustered") -> DataFrame:
-    """(word, n): chunks of all texts, each followed by the separator as in a corpus file."""
-    chunks = T.pre_tokenize(F.concat(F.col(text_col), F.lit(SEPARATOR)), digit_mode)
+def word_counts(docs: DataFrame, text_col: str = "clean", digit_mode: str = "clustered", separator: str = SEPARATOR) -> DataFrame:
+    """(word, n): chunks of all texts, each followed by the separator as in a corpus file. Lines that `text_files.read_corpus`
+    gives want a line end as separator."""
+    chunks = T.pre_tokenize(F.concat(F.col(text_col), F.lit(separator)), digit_mode)
     return docs.select(F.explode(chunks).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -80,6 +80,21 @@ def train_model(docs: DataFrame, vocab_size: int, min_frequency: int = 2, text_c
     return Model(V.train(V.word_counts(docs, text_col, digit_mode), vocab_size, min_frequency, specials), specials, None, digit_mode)
 
 
+def train_on_files(spark: SparkSession, path: str, vocab_size: int, min_frequency: int = 2, digit_mode: str = "clustered", max_lines: int | None = None) -> Model:
+    """A model of corpus text files, read line by line (optionally the first lines)."""
+    words = V.word_counts(text_files.read_corpus(spark, path, max_lines), "line", digit_mode, "\n")
+    return Model(V.train(words, vocab_size, min_frequency), None, None, digit_mode)
+
+
+def figures(model: Model, report: DataFrame, name: str) -> dict:
+    """What a run's metrics.json holds, from a report with an `overall` row (a row per domain)."""
+    rows = [r.asDict() for r in report.collect()]
+    keep = ("n_bytes", "n_words", "compression_ratio", "fertility", "unk_percent", "used_percent", "all_lossless")
+    one = lambda r: {k: r[k] for k in keep} | {"total_tokens": r["n_tokens"]}
+    overall = next((one(r) for r in rows if r["domain"] == "overall"), {})
+    return {"model_name": name, "vocab_size": len(model.ids), "overall": overall, "domains": {r["domain"]: one(r) for r in rows if r["domain"] != "overall"}}
+
+
 def sweep(model: Model, sizes: list[int]) -> list[Model]:
     """Smaller vocabularies are prefixes of the largest: train once, cut as often as needed."""
     return [model.prefix(max(0, size - 256 - len(model.specials))) for size in sorted(sizes)]
@@ -192,4 +207,4 @@ def complete_artifacts(spark: SparkSession, folder: str) -> list[str]:
     return missing
 
 
-__all__ = ["build_corpus", "build_mix", "complete_artifacts", "evaluate", "leaderboard_markdown", "manifest_of", "read_mix", "read_runs", "read_text", "rebuild_leaderboard", "resolve_run", "save_run", "start_run", "sweep", "throughput", "train_model", "write_manifest"]
+__all__ = ["build_corpus", "build_mix", "complete_artifacts", "evaluate", "figures", "leaderboard_markdown", "manifest_of", "read_mix", "read_runs", "read_text", "rebuild_leaderboard", "resolve_run", "save_run", "start_run", "sweep", "throughput", "train_model", "train_on_files", "write_manifest"]
