@@ -209,3 +209,24 @@ def test_counts_ignore_nothing(spark):
     docs = spark.createDataFrame([("a b",), ("a b",)], "clean string")
     assert {r["word"]: r["n"] for r in V.word_counts(docs).collect()} == {"a": 2, " b": 2, "\n\n": 2}
     assert V.pair_counts(V.with_symbols(V.word_counts(docs))).where(F.col("l") == "Ġ").first()["freq"] == 2
+
+
+def test_segments_say_all(spark):
+    """Rounds of few pairs give the merges of a recount: ties beyond the rows looked at, runs of one letter, tokens made twice."""
+    rng = random.Random(31)
+    for look, budget in ((2, 1), (16, 60), (2048, 1 << 20)):
+        counts = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 12))): rng.choice([1, 1, 2, 5]) for _ in range(30)} | {"aaaaaaa": 3, "b": 9}
+        words = spark.createDataFrame(list(counts.items()), "word string, n long").coalesce(2)
+        letters = codec.Model([]).letters
+        want = naive({tuple(letters[b] for b in w.encode()): n for w, n in counts.items()}, 12, 2)
+        assert V.merge_steps(words, 12, look=look, budget=budget) == want
+
+
+def test_the_driver_gets_parts_of_words_only(spark, monkeypatch):
+    """30,000 distinct words of 40 letters; what is learned from on the driver is a small part of them."""
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abcdefgh") for _ in range(40)), 1) for _ in range(30_000)]
+    words, sizes, learn = spark.createDataFrame(rows, "word string, n long"), [], V._learn
+    monkeypatch.setattr(V, "_learn", lambda flat, *rest: sizes.append(len(flat)) or learn(flat, *rest))
+    V.train(words, 256 + 2, specials=[])
+    assert max(sizes) < 20_000
