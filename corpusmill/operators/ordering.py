@@ -28,11 +28,12 @@ def numbered(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
 def running(rows: DataFrame, by: str, order: str, sums: dict[str, str]) -> DataFrame:
     """Adds, for each (new name, column) of `sums`, the sum of the column over the earlier rows of the group `by`.
 
-    Bring narrow rows. They are range-sorted by group and order, so a large group is many parts; sums run inside
-    the parts of a group, and over one row per part before.
+    Bring narrow rows. They are written once, as range partitioning reads them twice (for its bounds, too), and
+    range-sorted by group and order, so a large group is many parts; sums run inside the parts of a group, and over
+    one row per part before.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = rows.repartitionByRange(n, by, order).withColumn("part__", F.spark_partition_id())
+    parted = Table(rows).df.repartitionByRange(n, by, order).withColumn("part__", F.spark_partition_id())
     table = Table(parted).df
     totals = table.groupBy(by, "part__").agg(*[F.sum(c).alias(f"{name}__") for name, c in sums.items()])
     ahead = Window.partitionBy(by).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
