@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,11 @@ from .common import release, slices, tidy
 
 #: Fixed value: the split pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words (and four times as many pairs of tokens) remembered in a task; beyond it the memory starts anew.
-MEMORY = 150_000
+BLANK, LETTER, DIGIT, OTHER = range(4)
+#: Words (and pairs of tokens) remembered in a task; beyond it the memory starts anew.
+MEMORY = 400_000
+#: Bytes of texts that are worked on at a time: the more, the more prefixes their words share.
+PART = 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,15 +41,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def odd_letters() -> regex.Pattern:
+def odd_letters(every: str) -> list[str]:
     """The letters and digits that the tokenizers library, whose Unicode tables are older, takes for symbols."""
     from tokenizers.pre_tokenizers import ByteLevel
 
     splitter = ByteLevel(add_prefix_space=False)
-    named = regex.compile(r"[\p{L}\p{N}]")
-    late = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c))]
-    symbols = [c for c in late if len(splitter.pre_tokenize_str("!" + c)) == 1]
-    return regex.compile("[" + "".join(symbols) + "]" if symbols else r"(?!)")
+    late = [c for run in regex.findall(r"[\p{L}\p{N}]+", every) for c in run if unicodedata.category(c) == "Cn"]
+    return [c for c in late if len(splitter.pre_tokenize_str("!" + c)) == 1]
+
+
+@cache
+def kinds() -> np.ndarray:
+    """The kind of each code point, as `PATTERN` tells them apart."""
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    every = "".join(map(chr, range(0x110000)))
+    for kind, named in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (BLANK, r"\s+")):
+        for m in regex.finditer(named, every):
+            out[m.start() : m.end()] = kind
+    out[[ord(c) for c in odd_letters(every)]] = OTHER
+    return out
 
 
 class Vocabulary:
@@ -76,7 +91,12 @@ class Vocabulary:
             self.rank.setdefault(a * size + b, r)
             if self.born[made] < 0:
                 self.born[made], self.halves[made] = r, (a, b)
-        self.longest = max(map(len, self.ids), default=1)
+        self.made: Endings | None = None
+
+    def endings(self) -> Endings:
+        """Made where it is used first and kept as long as the vocabulary, in a worker thus from task to task."""
+        self.made = self.made or Endings(self.ids, len(self.pieces))
+        return self.made
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -84,6 +104,53 @@ class Vocabulary:
             return cls(json.load(f))
 
 
+class Endings:
+    """Which tokens end at a place of a word: an Aho-Corasick automaton over the tokens' bytes.
+
+    `longest` is the longest token that ends where a state is reached, `shorter` the next one that ends with it.
+    """
+
+    def __init__(self, ids: dict[bytes, int], size: int):
+        self.step: dict[int, int] = {}  # state << 8 | byte -> state
+        self.longest, self.shorter = [-1], [-1] * size
+        above, depth = [0], [0]  # of a state: the step to it
+        for piece, token in ids.items():
+            at = 0
+            for k, byte in enumerate(piece):
+                key = at << 8 | byte
+                to = self.step.get(key)
+                if to is None:
+                    to = self.step[key] = len(self.longest)
+                    self.longest.append(-1)
+                    above.append(key)
+                    depth.append(k + 1)
+                at = to
+            if at:
+                self.longest[at] = token
+        self.back = [0] * len(self.longest)  # the longest other state that ends a state
+        for state in np.argsort(depth, kind="stable").tolist()[1:]:
+            before, byte = above[state] >> 8, above[state] & 255
+            to = self._step(self.back[before], byte) if before else 0
+            self.back[state] = to
+            if self.longest[state] >= 0:
+                self.shorter[self.longest[state]] = self.longest[to]
+            else:
+                self.longest[state] = self.longest[to]
+        self.moves = dict(self.step)  # and what was found by going back
+
+    def _step(self, state: int, byte: int) -> int:
+        while state and state << 8 | byte not in self.step:
+            state = self.back[state]
+        return self.step.get(state << 8 | byte, 0)
+
+    def move(self, state: int, byte: int) -> int:
+        if len(self.moves) > len(self.step) + MEMORY:
+            self.moves.clear()
+            self.moves.update(self.step)
+        to = self.moves[state << 8 | byte] = self._step(state, byte)
+        return to
+
+
 class Codec:
     """Encodes and decodes within one task."""
 
@@ -93,24 +160,25 @@ class Codec:
         self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
-        self.split = regex.compile(PATTERN)
-        self.odd: regex.Pattern | None = None
-        self.lengths = np.array([len(p) for p in vocabulary.pieces], dtype=np.int64)
+        self.added = {content.encode(): i for content, i in vocabulary.added.items()}
+        self.sizes = [len(p) for p in vocabulary.pieces]
+        self.lengths = np.array(self.sizes, dtype=np.int64)
         self.flat = np.frombuffer(b"".join(vocabulary.pieces), dtype=np.uint8)
         self.at = np.cumsum(self.lengths) - self.lengths
         self.decimals = [b"%d" % i for i in range(self.size)]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.tokens: list[list[int]] = []
+        self.known: dict[bytes, int] = {}
+        self.tokens = np.zeros(0, dtype=np.int32)  # of all known words, one after the other
+        self.upto = np.zeros(1, dtype=np.int64)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether token a may be followed by token b in one word's encoding."""
         key = a * self.size + b
         found = self.beside.get(key)
         if found is None:
-            if len(self.beside) > 4 * MEMORY:
+            if len(self.beside) > MEMORY:
                 self.beside.clear()
             found = self.beside[key] = self._compatible(a, b)
         return found
@@ -155,10 +223,14 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Tokens of distinct words."""
-        ids, longest = self.v.ids, self.v.longest
+        ends, lens = self.v.endings(), self.sizes
+        moves, longest, shorter = ends.moves, ends.longest, ends.shorter
+        if len(self.beside) > MEMORY:
+            self.beside.clear()
         beside, size, slow = self.beside, self.size, self._compatible
         out: dict[bytes, list[int]] = {}
         last: list[int] = [-1]  # by prefix length
+        states: list[int] = [0]
         before = b""
         for word in sorted(words):
             n = len(word)
@@ -168,69 +240,116 @@ class Codec:
             else:
                 while word[shared] == before[shared]:
                     shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
             for end in range(shared + 1, n + 1):
-                for begin in range(max(0, end - longest), end):
-                    token = ids.get(word[begin:end])
-                    if token is None:
-                        continue
-                    if not begin:
-                        if self._stands_alone(token):
-                            break
-                        continue
-                    key = last[begin] * size + token
-                    good = beside.get(key)
-                    if good is None:
-                        good = beside[key] = slow(last[begin], token)
+                to = moves.get(state << 8 | word[end - 1])
+                state = ends.move(state, word[end - 1]) if to is None else to
+                token = longest[state]
+                while token >= 0:
+                    begin = end - lens[token]
+                    if begin:
+                        key = last[begin] * size + token
+                        good = beside.get(key)
+                        if good is None:
+                            good = beside[key] = slow(last[begin], token)
+                    else:
+                        good = self._stands_alone(token)
                     if good:
                         break
+                    token = shorter[token]
                 else:
                     raise ValueError("the vocabulary lacks a byte")
                 last.append(token)
+                states.append(state)
             tokens, end = [], n
             while end:
                 tokens.append(last[end])
-                end -= len(self.v.pieces[last[end]])
+                end -= lens[last[end]]
             out[word] = tokens[::-1]
             before = word
         return out
 
-    def _plain_words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            self.odd = self.odd or odd_letters()
-            if self.odd.search(text):  # the same places, split as if these were symbols
-                stand_in = self.odd.sub("\ue000", text)
-                return [text[m.start() : m.end()] for m in self.split.finditer(stand_in)]
-        return self.split.findall(text)
-
-    def words(self, text: str) -> list[str]:
-        if self.special is None or not self.special.search(text):
-            return self._plain_words(text)
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += self._plain_words(text[at : m.start()])
-            out.append("\0" + m.group())  # no word starts so and holds an added token
-            at = m.end()
-        return out + self._plain_words(text[at:])
+    def _pieces(self, texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+        """(texts cut at added tokens, which of the pieces are added tokens, number of pieces of each text)."""
+        if self.special is None:
+            return texts, [], [1] * len(texts)
+        pieces, special, counts = [], [], []
+        for text in texts:
+            at, n = 0, len(pieces)
+            for m in self.special.finditer(text):
+                if at < m.start():
+                    pieces.append(text[at : m.start()])
+                special.append(len(pieces))
+                pieces.append(m.group())
+                at = m.end()
+            if at < len(text):
+                pieces.append(text[at:])
+            counts.append(len(pieces) - n)
+        return pieces, special, counts
+
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(the words of all texts one after the other, in UTF-8, where those of each text end).
+
+        They are what `PATTERN` finds, an added token being one word: runs of letters, digits, blanks and others, of
+        which the first three take a space before them and a run of blanks gives its last one away.
+        """
+        pieces, special, counts = self._pieces(texts)
+        whole = "".join(pieces)
+        points = np.frombuffer(whole.encode("utf-32-le", "replace"), dtype="<u4")
+        data = whole.encode("utf-8", "replace")
+        n, sizes = len(points), [len(p) for p in pieces]
+        begin = np.cumsum([0, *sizes])
+        kind = kinds()[points]
+        first = np.zeros(n + 3, dtype=bool)  # of a piece; three more, so that looking ahead stays inside
+        first[begin] = True
+        first[n:] = True
+        starts = first.copy()
+        starts[1:n] |= kind[1:] != kind[:-1]
+        follow = np.flatnonzero(starts[1:n] & ~first[1:n] & (kind[1:] != BLANK) & (kind[:-1] == BLANK)) + 1
+        starts[follow - 1] = True
+        starts[follow[points[follow - 1] == 0x20]] = False
+        quote = np.flatnonzero(starts[:n] & (points == 0x27))
+        quote = quote[~first[quote + 1]]
+        near, far = points[quote + 1], points[np.minimum(quote + 2, n - 1)]
+        double = ((near == ord("r")) | (near == ord("v"))) & (far == ord("e")) | (near == ord("l")) & (far == ord("l"))
+        double &= ~first[quote + 2]
+        single = np.isin(near, [ord(c) for c in "stmd"])
+        starts[quote[single | double] + 1] = False
+        starts[quote[single] + 2] = True
+        starts[quote[double] + 3] = True
+        for k in special:
+            starts[begin[k] + 1 : begin[k + 1]] = False
+        at = np.flatnonzero(starts[:n])
+        width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        offsets = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[np.append(at, n)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return words, np.searchsorted(at, begin[np.cumsum(counts, dtype=np.int64)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        split = [self.words(t) for t in texts]
+        words, ends = self.words(texts)
+        coded = words.dictionary_encode()
         if len(self.known) > MEMORY:
             self._forget()
-        new = {w for words in split for w in words if w not in self.known}
-        added = {w for w in new if w[0] == "\0" and w[1:] in self.v.added}
-        for w in added:
-            self.known[w] = len(self.tokens)
-            self.tokens.append([self.v.added[w[1:]]])
-        plain = {w.encode("utf-8", "replace"): w for w in new - added}
-        for raw, tokens in self.encode_words(list(plain)).items():
-            self.known[plain[raw]] = len(self.tokens)
-            self.tokens.append(tokens)
-        look, known = self.tokens.__getitem__, self.known.__getitem__
-        return [np.fromiter((i for tokens in map(look, map(known, words)) for i in tokens), dtype=np.int32) for words in split]
+        kinds = coded.dictionary.to_pylist()
+        self._learn([w for w in kinds if w not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, kinds), dtype=np.int64, count=len(kinds))[coded.indices.to_numpy()]
+        begin = self.upto[which]
+        lens = self.upto[which + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.tokens[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], lens)]
+        rows = [0, *upto[ends].tolist()]
+        return [ids[a:b] for a, b in zip(rows, rows[1:])]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds distinct words to the known ones."""
+        found = self.encode_words([w for w in words if w not in self.added])
+        found |= {w: [self.added[w]] for w in words if w in self.added}
+        self.known.update(zip(found, range(len(self.known), len(self.known) + len(found))))
+        lens = [len(tokens) for tokens in found.values()]
+        self.tokens = np.concatenate([self.tokens, np.fromiter(chain.from_iterable(found.values()), dtype=np.int32, count=sum(lens))])
+        self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(lens, dtype=np.int64)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of the text of token ids; bytes that are no UTF-8 become U+FFFD. Unknown ids raise IndexError."""
@@ -270,7 +389,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         cell: list = []
         for batch in batches:
             codec, texts = _codec(shared, cell), batch.column(1)
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, PART):
                 ids = codec.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["doc_id", "ids"])
@@ -304,7 +423,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             codec, texts = _codec(shared, cell), batch.column(1)
             rows = []
-            for lo, hi in slices(texts, 1 << 20):
+            for lo, hi in slices(texts, PART):
                 for ids in codec.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]):
                     rows.append((len(ids), codec.digest(ids), hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, own, back = zip(*rows, strict=True) if rows else ((), (), ())

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 import xxhash
@@ -364,6 +365,30 @@ def test_bpe_equals_the_library(spark, corpus_texts):
     assert bpe.round_trip(docs_of(spark, []), path).count() == 0
 
 
+def test_bpe_words_are_those_of_the_pattern():
+    codec = bpe.Codec(bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json")))
+    rng, alphabet = random.Random(8), [*" '  \t\nstredvmlT01.-éñ日٣²\u3000\x1c\x85🙂", "'re", "'ll", "'s"]
+    texts = ["", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(3000)), "a<|endoftext|> b", ""]
+    words, ends = codec.words(texts)
+    words = [w.decode() for w in words.to_pylist()]
+    got = [words[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    assert got == [*(regex.findall(bpe.PATTERN, t) for t in texts[:-2]), ["a", "<|endoftext|>", " b"], []]
+
+
+def test_bpe_looks_only_at_tokens_that_end_at_a_place():
+    rng = random.Random(9)
+    for _ in range(50):
+        ids = {t: i for i, t in enumerate({bytes(rng.choices(b"abc", k=rng.randint(1, 5))) for _ in range(30)})}
+        ends, word, state = bpe.Endings(ids, len(ids)), bytes(rng.choices(b"abcd", k=40)), 0
+        for k in range(1, len(word) + 1):
+            state, found = ends.move(state, word[k - 1]), []
+            token = ends.longest[state]
+            while token >= 0:
+                found.append(token)
+                token = ends.shorter[token]
+            assert found == [ids[word[i:k]] for i in range(k) if word[i:k] in ids]
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", "a\\<|b"), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "x\n<\\|"), (None, 0, None, "y"), (2, 0, "ro\nle\\", "<|"), (2, 0, "assistant", "tie")]
