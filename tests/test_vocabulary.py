@@ -230,3 +230,14 @@ def test_the_driver_gets_parts_of_words_only(spark, monkeypatch):
     monkeypatch.setattr(V, "_learn", lambda flat, *rest: sizes.append(len(flat)) or learn(flat, *rest))
     V.train(words, 256 + 2, specials=[])
     assert max(sizes) < 20_000
+
+
+def test_rounds_grow_again_after_one_that_was_too_large(spark, monkeypatch):
+    """The first pairs are in all words, later ones in short runs: 500 merges need ten passes; with slow growth they were 13."""
+    rng = random.Random(41)
+    parts = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    counts = {"".join(rng.choices(parts, range(300, 0, -1), k=3)): rng.randint(1, 40) for _ in range(2000)}
+    words, passes, cut = spark.createDataFrame(list(counts.items()), "word string, n long").coalesce(2), [], V.segments.segments
+    monkeypatch.setattr(V.segments, "segments", lambda state, joins, chosen: passes.append(len(chosen)) or cut(state, joins, chosen))
+    assert V.merge_steps(words, 500, budget=4000) == V.learn({tuple(w): n for w, n in counts.items()}, 500)
+    assert len(passes) <= 11
