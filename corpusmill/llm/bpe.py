@@ -29,9 +29,9 @@ from .common import release, slices, tidy
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK, LETTER, DIGIT, OTHER = range(4)
 #: Words (and pairs of tokens) remembered in a task; beyond it the memory starts anew.
-MEMORY = 400_000
-#: Bytes of texts that are worked on at a time: the more, the more prefixes their words share.
-PART = 4 << 20
+MEMORY = 300_000
+#: Bytes of texts that are worked on at a time: more share more prefixes, but take more memory.
+PART = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
