@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, materialize, mix64, partitions, slices, tidy, utf8, word_hashes, words_of
+from .common import NULL_ID, U64, materialize, mix64, partitions, short_batches, slices, tidy, utf8, word_hashes, words_of
 
 #: Rows of the sketch; cells of a range, the unit in which sketches are merged.
 DEPTH, RANGE_BITS = 2, 20
 #: Windows gathered in a task before it hands them on.
 FLUSH = 1 << 22
 _A = U64(0x9E3779B97F4A7C15 | 1)
+#: Rows of a batch that a task hands on.
+HANDED = 1 << 17
 #: A span of windows is one long: its start, and below in so many bits its length (longer ones are cut up).
 SPAN = 24
 #: Marks, in the second hash, spans that were settled inside a task.
@@ -91,10 +93,11 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Partition sketches: per sketch row and cell range, the cells seen (and seen twice) by a task."""
     span = min(RANGE_BITS, bits)
 
-    def emit(kept: list[np.ndarray]):
-        hashes = np.concatenate(kept)
+    def emit(kept: list[list[np.ndarray]]):
         for row in range(DEPTH):
-            sorted_cells = np.sort(cells(hashes, row, bits))
+            sorted_cells = np.concatenate(kept[row])
+            kept[row].clear()
+            sorted_cells.sort()
             new = np.ones(len(sorted_cells), dtype=bool)
             new[1:] = sorted_cells[1:] != sorted_cells[:-1]
             seen = sorted_cells[new]
@@ -104,15 +107,17 @@ def _sketch(docs: DataFrame, width: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(ranges), pa.int32()), pa.array(ranges.astype(np.int32)), pa.array(map(encode_gaps, cut(seen)), pa.binary()), pa.array(map(encode_gaps, cut(twice)), pa.binary())], names=["row", "range", "seen", "twice"])
 
     def run(batches):
-        kept, n = [], 0
+        kept, n = [[] for _ in range(DEPTH)], 0
         for batch in batches:
             texts = batch.column(0)
             for lo, hi in slices(texts, 2 << 20):
-                kept.append(window_hashes(utf8(texts.slice(lo, hi - lo)), width, False)[2])
-                n += len(kept[-1])
+                hashes = window_hashes(utf8(texts.slice(lo, hi - lo)), width, False)[2]
+                for row in range(DEPTH):
+                    kept[row].append(cells(hashes, row, bits))
+                n += len(hashes)
                 if n >= FLUSH:
                     yield from emit(kept)
-                    kept, n = [], 0
+                    n = 0
         if n:
             yield from emit(kept)
 
@@ -161,13 +166,15 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
 
     def emit(kept: list):
         ids, pos, one, two = (np.concatenate(x) for x in zip(*kept, strict=True))
+        kept.clear()
         order = np.lexsort((pos, ids, two, one))
         new = np.ones(len(one), dtype=bool)
         new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
         low = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         later = np.sort(order[(ids[order] != ids[low]) | (pos[order] != pos[low])])
         first = np.sort(order[new])  # in the order of the documents, which packs well
-        yield pa.RecordBatch.from_arrays([pa.array(one[first].view(np.int64)), pa.array(two[first]), pa.array(ids[first]), pa.array((pos[first] << SPAN) | 1)], names=names)
+        for at in (first[k : k + HANDED] for k in range(0, len(first), HANDED)):
+            yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at]), pa.array(ids[at]), pa.array((pos[at] << SPAN) | 1)], names=names)
         ids, pos = ids[later], pos[later]
         order = np.lexsort((pos, ids))
         ids, pos = ids[order], pos[order]
@@ -194,7 +201,7 @@ def _candidates(docs: DataFrame, width: int, bits: int, shared) -> DataFrame:
                 n += len(at)
                 if n >= FLUSH // 2:
                     yield from emit(kept)
-                    kept, n = [], 0
+                    n = 0
         if n:
             yield from emit(kept)
 
@@ -252,6 +259,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of their own, in the order of their texts' hashes. Other columns are ignored. An empty table
     gives an empty result.
     """
+    short_batches(docs.sparkSession)
     source = _numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     keyed = source.select(F.col("key").alias("doc_id"), "text")
     found = repeated_spans(keyed, width, max_sketch_bytes).withColumnRenamed("doc_id", "known")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -235,6 +236,17 @@ def test_substring(spark, corpus_texts):
     assert substring.without_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_substring_takes_long_texts_in_short_batches(spark):
+    own = spark.newSession()
+    docs = own.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 1500) AS text")
+    substring.without_repeats(docs)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 16 << 20 and max(r["n"] for r in sizes) < 5 << 20
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 9 << 20)  # the session's own limit stays
+    substring.without_repeats(docs)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(9 << 20)
+
+
 def test_lines(spark, corpus_texts):
     got = {r["doc_id"]: (r["n_removed"], r["text"], r["size"]) for r in lines.without_repeated_lines(docs_of(spark, corpus_texts)).collect()}
     seen, want = set(), {}
